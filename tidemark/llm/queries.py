@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality_rules import quality_verdicts
+from tidemark.llm.repeated_windows import drop_repeated_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +19,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_words(_table(spark, sf_dir, "documents")).drop("kept")
