@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.license_scan import license_detections
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.repeated_windows import drop_repeated_words
@@ -23,3 +24,7 @@ def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_words(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_detections(_table(spark, sf_dir, "documents")).drop("detections")
