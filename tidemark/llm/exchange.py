@@ -72,10 +72,11 @@ def documents_row(owners: int, lot: int, doc_ids: np.ndarray, prints: np.ndarray
     return (lot % owners, lot, DOCS, pack(deltas(doc_ids), prints.astype(np.int64)))
 
 
-def hits_row(owners: int, lot: int, docs: np.ndarray, starts: np.ndarray) -> tuple[int, int, int, bytes]:
-    """Places (document of the lot, start) as one row; any order."""
+def hits_row(owners: int, lot: int, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray | None = None) -> tuple[int, int, int, bytes]:
+    """Windows found repeated (document of the lot, start, how many consecutive ones) as one row; any order."""
     order = np.lexsort((starts, docs))
-    return (lot % owners, lot, HITS, pack(*planes(deltas(docs[order])), *planes(starts[order])))
+    counts = np.ones(len(docs), np.uint16) if counts is None else counts.astype(np.uint16)
+    return (lot % owners, lot, HITS, pack(*planes(deltas(docs[order])), *planes(starts[order]), counts[order]))
 
 
 def owners_for(n_bytes: int, share: int) -> int:
@@ -105,7 +106,7 @@ def _runs_by_lot(size: int):
 
     def run(table: pa.Table) -> pa.Table:
         doc_ids = prints = None
-        docs, starts = [], []
+        docs, starts, counts = [], [], []
         for kind, load in zip(table["kind"].to_pylist(), table["load"], strict=True):
             arrays = unpack(load.as_py())
             if kind == DOCS:
@@ -113,17 +114,20 @@ def _runs_by_lot(size: int):
             else:
                 docs.append(np.cumsum(joined(arrays[0], arrays[1])))
                 starts.append(joined(arrays[2], arrays[3]))
+                counts.append(arrays[4])
         out: list[list] = [[], [], []]
         if docs:
             d, s = np.concatenate(docs), np.concatenate(starts)
+            e = s + np.concatenate(counts).astype(np.int64) - 1 + size
             order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            # a run begins where the document changes or a window starts beyond the end of the last one
+            d, s, e = d[order], s[order], e[order]
+            # a run begins where the document changes or a window starts beyond all that came before
+            reach = np.maximum.accumulate((d << 40) + e)
             first = np.ones(len(d), bool)
-            first[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + size)
+            first[1:] = (d[1:] << 40) + s[1:] > reach[:-1]
             at = np.flatnonzero(first)
             last = np.append(at[1:], len(d)) - 1
-            pairs = np.stack([s[at], s[last] + size], axis=1)
+            pairs = np.stack([s[at], reach[last] - (d[at] << 40)], axis=1)
             heads = np.flatnonzero(np.diff(d[at], prepend=-1))
             for a, b in zip(heads, np.append(heads[1:], len(at)), strict=True):
                 out[0].append(int(doc_ids[d[at[a]]]))

@@ -8,6 +8,7 @@ from tidemark.llm.license_scan import license_detections
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.repeated_windows import drop_repeated_words
+from tidemark.llm.suffix_dedup import drop_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,7 @@ def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_detections(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
