@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.hamming_topk import top_k
 from tidemark.llm.license_scan import license_detections
+from tidemark.llm.line_dedup import drop_repeated_lines
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.repeated_windows import drop_repeated_words
@@ -33,3 +37,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op5_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
