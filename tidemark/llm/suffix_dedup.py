@@ -35,10 +35,10 @@ from tidemark.llm import exchange as x
 from tidemark.llm import store
 from tidemark.llm.repeated_windows import settle
 from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
-from tidemark.llm.text import GOLDEN, U, Block, blocks, mix, window_hashes, window_owner
+from tidemark.llm.text import BLOCK, GOLDEN, U, Block, blocks, mix, powers, window_hashes, window_owner
 
 GRAM = 16
-LOT_BYTES = 48 << 20
+LOT_BYTES = 32 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _SYMBOLS = mix(np.arange(1, 257, dtype=U) * GOLDEN)
 _OTHER = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
@@ -93,23 +93,31 @@ def cut(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return data[np.arange(len(jump)) + jump]
 
 
-def _content(data: np.ndarray, lengths: np.ndarray, table: np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of consecutive pieces of data."""
-    from tidemark.llm.text import _POWERS
-
-    up, down = _POWERS[which].to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * up[:-1], out=total[1:])
+def _content(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of consecutive pieces of data, about a block of bytes at a time."""
     ends = np.cumsum(lengths)
-    begins = ends - lengths
-    return mix((total[ends] - total[begins]) * down[begins] + lengths.astype(U))
-
-
-def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs, starts, counts, data) -> list[tuple[int, int, int, bytes]]:
+    out = np.zeros(len(lengths), U), np.zeros(len(lengths), U)
+    i = 0
+    while i < len(lengths):
+        base = int(ends[i] - lengths[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
+        e = ends[i:j] - base
+        b = e - lengths[i:j]
+        part = data[base : base + int(e[-1])]
+        for which, table in enumerate((_SYMBOLS, _OTHER)):
+            up, down = powers(which, len(part) + 1)
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum(table[part] * up[:-1], out=total[1:])
+            out[which][i:j] = mix((total[e] - total[b]) * down[b] + lengths[i:j].astype(U))
+        i = j
+    return out
+
+
+def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs, starts, counts, one, two, data) -> list[tuple[int, int, int, bytes]]:
     lot = x.lot_id(number)
     rows = [x.documents_row(owners, lot, doc_ids, prints)]
     lengths = counts + size - 1
-    order, _, later = settle((_content(data, lengths, _SYMBOLS, 0), _content(data, lengths, _OTHER, 1)), doc_ids[docs])
+    order, _, later = settle((one, two), doc_ids[docs])
     known = order[later]
     if len(known):
         rows.append(x.hits_row(owners, lot, docs[known], starts[known], counts[known]))
@@ -145,7 +153,8 @@ def _asks(size: int, owners: int, bits: int, maps):
                 may = np.flatnonzero(countmin.maybe_repeated(keys, maps.value, bits))
                 if len(may):
                     keys, at, count, owner = keys[may], at[may], count[may], owner[may]
-                    held.append((keys, block.rows[owner] + first, at - block.bounds[owner], count, cut(block.data, at, count + size - 1)))
+                    body = cut(block.data, at, count + size - 1)
+                    held.append((keys, block.rows[owner] + first, at - block.bounds[owner], count, *_content(body, count + size - 1), body))
                     n += len(held[-1][-1])
             first += batch.num_rows
             if n >= LOT_BYTES:
@@ -174,7 +183,7 @@ def repeated_places(text: np.ndarray, ids: np.ndarray, valid: np.ndarray, size:
 def _answer(size: int, lots, docs, ids, starts, counts, data) -> list[tuple[np.ndarray, ...]]:
     """Hits (lot, document, start, count) among the segments of one owner."""
     lengths = counts + size - 1
-    order, group, later = settle((_content(data, lengths, _SYMBOLS, 0), _content(data, lengths, _OTHER, 1)), ids)
+    order, group, later = settle(_content(data, lengths), ids)
     hits = [(lots[order[later]], docs[order[later]], starts[order[later]], counts[order[later]])]
     ends = np.cumsum(lengths)
     heads = np.flatnonzero(np.diff(group, prepend=-1))
@@ -246,7 +255,7 @@ def _result(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int = 4 << 20) -> DataFrame:
+def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, print and the byte runs (start, end, ...) that a smaller id has too, as a saved table."""
     spark = documents.sparkSession
     n_bytes = x.text_bytes(documents)

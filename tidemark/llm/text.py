@@ -46,7 +46,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n + n // 8, 1 << 16)
             self.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(self.n - 1, self.base, U)]))
             self.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(self.n - 1, _inverse(self.base), U)]))
         return self.up[:n], self.down[:n]
@@ -55,12 +55,17 @@ class _Powers:
 _POWERS = {0: _Powers(0x9E3779B97F4A7C15), 1: _Powers(0xD1342543DE82EF95)}
 
 
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of one of the odd multipliers, and of its inverse."""
+    return _POWERS[which].to(n)
+
+
 def window_hashes(symbols: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """64-bit hashes of all windows of that many consecutive symbols (already mixed 64-bit values)."""
     n = len(symbols) - size + 1
     if n < 1:
         return np.zeros(0, U)
-    up, down = _POWERS[which].to(len(symbols))
+    up, down = powers(which, len(symbols))
     total = np.zeros(len(symbols) + 1, U)
     np.cumsum(symbols * up, out=total[1:])
     return mix((total[size:] - total[:-size]) * down[:n])
