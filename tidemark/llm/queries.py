@@ -9,6 +9,7 @@ from tidemark.llm.hamming_topk import top_k
 from tidemark.llm.license_scan import license_detections
 from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.ordinal import classify, graded, train
 from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.repeated_windows import drop_repeated_words
@@ -50,3 +51,8 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return classify(documents, train(documents, graded(_table(spark, sf_dir, "labels"))))
