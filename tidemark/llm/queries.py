@@ -11,6 +11,7 @@ from tidemark.llm.line_dedup import drop_repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ordinal import classify, graded, train
 from tidemark.llm.packing import best_fit_pack
+from tidemark.llm.parity_join import near_duplicate_groups
 from tidemark.llm.quality_rules import quality_verdicts
 from tidemark.llm.repeated_windows import drop_repeated_words
 from tidemark.llm.suffix_dedup import drop_repeated_bytes
@@ -56,3 +57,7 @@ def op5_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return classify(documents, train(documents, graded(_table(spark, sf_dir, "labels"))))
+
+
+def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, sf_dir, "documents")).drop("node")
