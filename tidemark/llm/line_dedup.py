@@ -49,7 +49,8 @@ def _numbered(documents: DataFrame, min_lines: int) -> DataFrame:
 
 def repeated_line_spans(documents: DataFrame, min_lines: int = 2) -> DataFrame:
     """_doc, _print and _gone, the line numbers to delete, for every document that loses any; a saved table."""
-    places = _numbered(documents, min_lines).select("_doc", "_print", F.posexplode("_names").alias("_place", "_name"))
+    # the outer form: an inner one lets the optimizer copy the names' whole expression into a filter on the scan
+    places = _numbered(documents, min_lines).select("_doc", "_print", F.posexplode_outer("_names").alias("_place", "_name")).where("_name is not null")
     first = F.min(F.struct("_doc", "_place")).alias("_first")
     intervals = places.groupBy("_name").agg(first, F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_name", "_first")
     later = (F.col("_doc") > F.col("_first._doc")) | ((F.col("_doc") == F.col("_first._doc")) & (F.col("_place") >= F.col("_first._place") + min_lines))
