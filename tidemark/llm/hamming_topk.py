@@ -161,6 +161,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 20, dims: int = 64, s
     shards = max(1, -(-codes.count() // shard_rows))
     index = codes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     queries = codes.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    near = index.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search(k, segments, -(-dims // 64), block), ANSWER)
+    # shards are small in bytes but not in work, so their number is fixed against coalescing
+    dealt = [df.repartition(max(2, shards), "shard").groupBy("shard") for df in (index, queries)]
+    near = dealt[0].cogroup(dealt[1]).applyInArrow(_search(k, segments, -(-dims // 64), block), ANSWER)
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
