@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -43,3 +44,13 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._tidemark_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns, filtered after those are computed.
+
+    A plain filter would be pushed to the scan with every expression below it copied into it, once for
+    each use, which for stacked array expressions doubles at every level. A term that the optimizer takes
+    for non-deterministic, and that always holds, keeps the filter where it stands.
+    """
+    return df.withColumn("_only", condition & (F.monotonically_increasing_id() >= 0)).where("_only").drop("_only")
