@@ -31,7 +31,7 @@ from tidemark.llm.text import GOLDEN, U, Block, blocks, mix, words
 #: Bytes of the word beginnings that are features, and features kept apart for a text's looks.
 PREFIXES = (4, 6)
 BINS, SURFACE = 32, 256
-RATED = "grade int, features array<int>"
+RATED = "grade int, features binary"
 _TOKENS = np.full(256, 32, np.uint8)
 _TOKENS[128:] = np.arange(128, 256)
 for _a, _b, _to in ((48, 58, 48), (65, 91, 97), (97, 123, 97)):
@@ -89,8 +89,8 @@ def _rated(bits: int):
                 owner, f = features(block, bits)
                 edges = np.searchsorted(owner, np.arange(len(block.rows) + 1))
                 for i, row in enumerate(block.rows):
-                    rows[row] = f[edges[i] : edges[i + 1]].astype(np.int32)
-            yield pa.record_batch([batch.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "features"])
+                    rows[row] = f[edges[i] : edges[i + 1]].astype(np.int32).tobytes()
+            yield pa.record_batch([batch.column("grade"), pa.array(rows, pa.binary())], names=["grade", "features"])
 
     return run
 
@@ -114,15 +114,14 @@ class OrdinalModel:
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, bits: int, *, l2: float = 3e-4, steps: int = 120, rate: float = 0.1, min_texts: int = 10) -> OrdinalModel:
     """Full-batch Adam on the mean negative log likelihood; gaps between thresholds are kept as logarithms."""
     size = np.array([max(len(r), 1) for r in rows])
-    index = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = worth(size, owner, index)
-    known, index, texts = np.unique(index, return_inverse=True, return_counts=True)
-    common = np.flatnonzero(texts >= min_texts)
-    place = np.full(len(known), -1)
-    place[common] = np.arange(len(common))
-    known, index = known[common], place[index]
-    owner, value, index = owner[index >= 0], value[index >= 0], index[index >= 0]
+    index = np.concatenate([*rows, np.zeros(0, np.int32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    known = np.flatnonzero(np.bincount(index, minlength=1 << bits) >= min_texts)
+    place = np.full(1 << bits, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    index = place[index]
+    owner, index = owner[index >= 0], index[index >= 0]
+    value = worth(size, owner, known[index]).astype(np.float32)
     w = np.zeros(len(known))
     share = np.array([np.clip((grades >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, levels)])
     t = -np.log(share / (1 - share))
@@ -170,11 +169,11 @@ def rated_documents(documents: DataFrame, ratings: DataFrame, max_labelled: int,
     return rated.mapInArrow(_rated(bits), RATED).collect()
 
 
-def train(documents: DataFrame, ratings: DataFrame, *, levels: int = 3, bits: int = 22, max_labelled: int = 8192, **how) -> OrdinalModel:
+def train(documents: DataFrame, ratings: DataFrame, *, levels: int = 3, bits: int = 22, max_labelled: int = 6000, **how) -> OrdinalModel:
     rows = rated_documents(documents, ratings, max_labelled, bits)
     if not rows:
         return OrdinalModel(bits, np.zeros(1 << bits, np.float32), np.zeros(levels - 1) + np.arange(levels - 1) * 1e-6)
-    return fit([np.array(r["features"], np.int32) for r in rows], np.array([r["grade"] for r in rows]), levels, bits, **how)
+    return fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["grade"] for r in rows]), levels, bits, **how)
 
 
 def _scored(model, min_grade: int, min_tail: float):
