@@ -13,7 +13,7 @@ Equal sets are one node, known by a 64-bit print. In every bucket of equal segme
 paired with the smallest; verified pairs already connect most of a group, so a group of thousands
 costs thousands of pairs. Only buckets in which such a pair failed are looked at again: pairs of
 different components that the bit sketch lets through are verified as well. Verification compares
-whole sets and is exact up to 64-bit token hashes.
+whole sets and is exact up to 48-bit token hashes.
 
 Scale: texts are scanned twice. Segments travel packed (see ``exchange``); the second scan computes
 sets only of documents in candidate pairs and sends a member's set to its hub, hot hubs salted. Texts
@@ -56,7 +56,7 @@ def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
         short = np.flatnonzero(counts == k)
         if len(short):
             whole = window_hashes(w.hashes, k)[w.bounds[short]]
-            tokens.append(mix(whole + U(k) * GOLDEN))
+            tokens.append(mix(whole ^ mix(np.full(1, k, U))))
             owners.append(short)
     token, owner = np.concatenate(tokens), np.concatenate(owners)
     order = np.lexsort((token, owner))
@@ -231,6 +231,16 @@ def _buckets(batches):
         yield _found(rows)
 
 
+def _packed_set(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of a set's tokens; within a pair of sets, two tokens agree there by chance once in 10**9 pairs."""
+    return (tokens >> U(32)).astype("<u4").tobytes() + (tokens >> U(16)).astype("<u2").tobytes()
+
+
+def _unpacked_set(load: bytes) -> np.ndarray:
+    n = len(load) // 6
+    return (np.frombuffer(load, "<u4", n).astype(U) << U(16)) | np.frombuffer(load, "<u2", n, 4 * n).astype(U)
+
+
 def _sets(size: int):
     """Sets of documents, sent along each of their routes."""
     schema = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("member", pa.int32()), ("node", pa.int64()), ("load", pa.binary())])
@@ -243,7 +253,7 @@ def _sets(size: int):
                 edges = np.searchsorted(owner, np.arange(len(block.rows) + 1))
                 rows: list[list] = [[], [], [], [], []]
                 for i, row in enumerate(block.rows):
-                    load = token[edges[i] : edges[i + 1]].tobytes()
+                    load = _packed_set(token[edges[i] : edges[i + 1]])
                     for route in routes[row]:
                         for column, value in zip(rows, (route["hub"], route["salt"], route["member"], nodes[row], load), strict=True):
                             column.append(value)
@@ -260,7 +270,7 @@ def _linked(percent: int):
         for b in batches:
             out: list[list] = [[], []]
             for hub, salt, member, node, load in zip(b.column("hub").to_pylist(), b.column("salt").to_pylist(), b.column("member").to_pylist(), b.column("node").to_pylist(), b.column("load"), strict=True):
-                tokens = np.frombuffer(load.as_py(), U)
+                tokens = _unpacked_set(load.as_py())
                 if not member:
                     at, mine = (hub, salt), tokens
                 elif at == (hub, salt):
@@ -275,6 +285,26 @@ def _linked(percent: int):
     return run
 
 
+def _near(percent: int):
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            sketch = [np.frombuffer(b"".join(b.column(c).to_pylist()), U).reshape(n, BITS // 64) for c in ("sa", "sb")]
+            apart = np.bitwise_count(sketch[0] ^ sketch[1]).sum(axis=1, dtype=np.int64)
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            fits = (apart <= _differences(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            yield b.select(["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and bit sketches don't rule a link out; the sketches' distance never exceeds the sets'."""
+    side = lambda p: reps.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return store.save(wide.mapInArrow(_near(percent), "a long, b long"), "plausible")
+
+
 def _verified(documents: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int, most_broadcast: int, per_salt: int = 2000) -> DataFrame:
     """The pairs (a, b) of nodes that link, as a saved table."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts"))
@@ -344,7 +374,7 @@ def near_duplicate_groups(documents: DataFrame, *, size: int = 5, percent: int =
     reps = store.save(docs.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     hubs = found.where(F.col("kind") == HUB)
     first = store.save(hubs.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
-    linked = _verified(documents, reps, first, size, percent, most_broadcast)
+    linked = _verified(documents, reps, _plausible(first, reps, percent), size, percent, most_broadcast)
     roots = components(linked, "a", "b")
     failed = first.join(linked, ["a", "b"], "left_anti")
     # buckets whose hub has a failed pair may hold links between other nodes
