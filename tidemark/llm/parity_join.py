@@ -7,7 +7,7 @@ Hamming distance bounds the symmetric difference from below. Two sketches that a
 segments share one among the first d + 1 of each, taken in segment order (pigeonhole), so joining on those
 loses no pair. Bands span an octave; a set near the top of its band joins the next one too, so every
 pair within the threshold's size ratio meets in a band. Sets up to 127 tokens give each token its own segment. A
-second sketch of single parity bits, 1024 of them, rejects pairs by Hamming distance before sets are compared.
+second sketch of single parity bits, at least as many as tokens, rejects pairs by Hamming distance before sets are compared.
 
 Equal sets are one node, known by a 64-bit print. In every bucket of equal segments each node is
 paired with the smallest; verified pairs already connect most of a group, so a group of thousands
@@ -38,7 +38,7 @@ from tidemark.llm import store
 from tidemark.llm.components import components
 from tidemark.llm.text import GOLDEN, U, Block, blocks, mix, window_hashes, window_owner, words
 
-BITS = 1024
+LEAST_BITS = 1024
 OWN_SEGMENT = 128
 FOUND = "kind int, doc_id long, print long, node long, n long, sketch binary, others array<long>, load binary"
 _FOUND = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "print", "node", "n")), ("sketch", pa.binary()), ("others", pa.list_(pa.int64())), ("load", pa.binary())])
@@ -106,10 +106,21 @@ def segment_keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, percen
     return np.concatenate([*out_owner, np.zeros(0, np.int64)]), np.concatenate([*out_key, np.zeros(0, U)])
 
 
-def parity_bits(owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts, BITS parities: bit j tells whether an odd number of its tokens hash to j."""
-    cell = owner * BITS + (mix(token ^ GOLDEN) >> U(54)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+def widths(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of sets of these sizes: a power of two of at least the size, so it never fills up."""
+    octave = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    return np.maximum(np.int64(LEAST_BITS), np.int64(2) << octave)
+
+
+def parity_bits(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text its parities, one after another: bit j tells whether an odd number of tokens hash to j.
+
+    Cells are the low bits of one hash, so a sketch folds to half its width by XOR of its halves.
+    """
+    w = widths(sizes)
+    begin = np.cumsum(w) - w
+    cell = (mix(token ^ GOLDEN) & (w[owner] - 1).astype(U)).astype(np.int64)
+    return np.packbits((np.bincount(begin[owner] + cell, minlength=int(w.sum())) & 1).astype(np.uint8), bitorder="little")
 
 
 def _prints(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -153,7 +164,7 @@ def _scan(size: int, percent: int, owners: int):
                 count = np.bincount(owner, minlength=len(block.rows))
                 nodes.append(_prints(owner, token, count))
                 sizes.append(count)
-                sketches.append(parity_bits(owner, token, len(block.rows)).ravel())
+                sketches.append(parity_bits(owner, token, count))
                 o, k = segment_keys(owner, token, count, percent)
                 key_doc.append(block.rows[o] + first)
                 keys.append(k)
@@ -185,9 +196,9 @@ def _buckets(batches):
             arrays = x.unpack(load.as_py())
             if kind == x.DOCS:
                 doc, print_, node, n, sketch = arrays
-                width = BITS // 8
                 sketch = sketch.tobytes()
-                yield _found({"kind": [DOC] * len(doc), "doc_id": doc, "print": print_, "node": node, "n": n, "sketch": [sketch[i : i + width] for i in range(0, len(sketch), width)]})
+                ends = np.cumsum(widths(n) // 8)
+                yield _found({"kind": [DOC] * len(doc), "doc_id": doc, "print": print_, "node": node, "n": n, "sketch": [sketch[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]})
             else:
                 node, counts, high, low = arrays
                 nodes.append(np.repeat(node, counts))
@@ -285,13 +296,24 @@ def _linked(percent: int):
     return run
 
 
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two parity sketches, the wider one folded to the other's width."""
+    x, y = (int.from_bytes(s, "little") for s in sorted((a, b), key=len))
+    width = 8 * min(len(a), len(b))
+    while y >> width:
+        folded = 0
+        while y:
+            folded ^= y & ((1 << width) - 1)
+            y >>= width
+        y = folded
+    return (x ^ y).bit_count()
+
+
 def _near(percent: int):
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            sketch = [np.frombuffer(b"".join(b.column(c).to_pylist()), U).reshape(n, BITS // 64) for c in ("sa", "sb")]
-            apart = np.bitwise_count(sketch[0] ^ sketch[1]).sum(axis=1, dtype=np.int64)
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            apart = np.array([sketch_distance(x, y) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)], np.int64)
             fits = (apart <= _differences(na, nb, percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             yield b.select(["a", "b"]).filter(pa.array(fits))
 
@@ -329,20 +351,25 @@ def _cross_pairs(percent: int):
         n = table["n"].to_numpy()
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         if len(np.unique(root)) > 1:
-            order = np.argsort(n, kind="stable")
-            node, root, n = node[order], root[order], n[order]
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U).reshape(len(n), BITS // 64)[order]
-            last = np.searchsorted(n, 100 * n // percent, "right")
-            for a in range(0, len(n), 32):
-                b = min(a + 32, len(n))
-                stop = int(last[a:b].max())
-                apart = np.bitwise_count(sketch[a:b, None, :] ^ sketch[None, a:stop, :]).sum(axis=2, dtype=np.int64)
-                most = _differences(n[a:b, None], n[None, a:stop], percent)
-                near = (apart <= most) & (100 * n[a:b, None] >= percent * n[None, a:stop]) & (root[a:b, None] != root[None, a:stop])
-                i, j = np.nonzero(near)
-                i, j = i + a, j + a
-                up = i < j
-                found.append(np.stack([np.minimum(node[i[up]], node[j[up]]), np.maximum(node[i[up]], node[j[up]])], axis=1))
+            width = widths(n)
+            raw = table["sketch"].to_pylist()
+            sides = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+            sides = {w: at[np.argsort(n[at], kind="stable")] for w, at in sides.items()}
+            bits = {w: np.frombuffer(b"".join(raw[i] for i in at), U).reshape(len(at), -1) for w, at in sides.items()}
+            # a band's sets have at most two widths; the wider are folded to meet the narrower
+            for w, at in sides.items():
+                for v, to in sides.items():
+                    if v < w:
+                        continue
+                    wide = np.bitwise_xor.reduce(bits[v].reshape(len(to), v // w, -1), axis=1)
+                    for a in range(0, len(at), 32):
+                        i = at[a : a + 32]
+                        first, last = np.searchsorted(100 * n[to], percent * n[i[0]]), np.searchsorted(percent * n[to], 100 * n[i[-1]], "right")
+                        j = to[first:last]
+                        apart = np.bitwise_count(bits[w][a : a + 32, None, :] ^ wide[None, first:last, :]).sum(axis=2, dtype=np.int64)
+                        most = _differences(n[i][:, None], n[j][None, :], percent)
+                        r, c = np.nonzero((apart <= most) & (root[i][:, None] != root[j][None, :]))
+                        found.append(np.stack([np.minimum(node[i[r]], node[j[c]]), np.maximum(node[i[r]], node[j[c]])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
