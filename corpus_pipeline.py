@@ -32,12 +32,12 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return store.only(quality_verdicts(docs, carry=tuple(docs.columns)), F.col("kept")).select(*docs.columns)
+    return quality_verdicts(docs, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     emptied = (F.col("n_removed_lines") > 0) & (F.col("n_removed_lines") == F.col("n_lines"))
-    out = store.only(drop_repeated_lines(docs), ~emptied)
+    out = drop_repeated_lines(docs).where(~emptied)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import settled
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are always reported, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -186,4 +188,4 @@ def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",
         "score": score,
     }
     names = ["n_words", *own, "detections"]
-    return df.withColumns(own).select(*[c for c in carry if c not in names], *names)
+    return df.withColumns({c: settled(x) for c, x in own.items()}).select(*[c for c in carry if c not in names], *names)

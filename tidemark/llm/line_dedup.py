@@ -91,4 +91,4 @@ def drop_repeated_lines(documents: DataFrame, *, min_lines: int = 2, most_broadc
         "n_removed_lines": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
         "removed_spans": F.when(F.col("_windows").isNull(), pairs).otherwise(_spans("_gone")),
     }
-    return df.withColumns(own).select(*columns, *OWN)
+    return df.withColumns({c: store.settled(x) for c, x in own.items()}).select(*columns, *OWN)

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import settled
+
 BLANK = r"[\x20\x09-\x0D]+"
 #: Frequent function words of the four languages.
 COMMON_WORDS = {
@@ -171,4 +173,6 @@ def quality_verdicts(
     odd = (F.col("n_words") >= min_words_histogram) & (F.col("word_distance") > max_word_distance)
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance")
     h = h.withColumns({"base_failed": failed, "_off": F.coalesce(far | odd, F.lit(False))})
-    return h.select(*[c for c in carry if c not in own], *own, "base_failed", (~F.col("base_failed") & ~F.col("_off")).alias("kept"))
+    h = h.withColumn("_kept", ~F.col("base_failed") & ~F.col("_off"))
+    names = [*own, "base_failed", "kept"]
+    return h.select(*[c for c in carry if c not in names], *[settled(F.col("_kept" if c == "kept" else c)).alias(c) for c in names])

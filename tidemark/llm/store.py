@@ -46,11 +46,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def only(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows that meet a condition on computed columns, filtered after those are computed.
+def settled(column: Column) -> Column:
+    """The same value, in a form through which no filter is pushed down.
 
-    A plain filter would be pushed to the scan with every expression below it copied into it, once for
-    each use, which for stacked array expressions doubles at every level. A term that the optimizer takes
-    for non-deterministic, and that always holds, keeps the filter where it stands.
+    A filter on a computed column is else pushed to the scan with every expression below it copied into it,
+    once for each use, which for stacked array expressions doubles at every level. The optimizer takes
+    this condition, which always holds, for non-deterministic and keeps the filter where it stands.
     """
-    return df.withColumn("_only", condition & (F.monotonically_increasing_id() >= 0)).where("_only").drop("_only")
+    return F.when(F.monotonically_increasing_id() >= 0, column)
