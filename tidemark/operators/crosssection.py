@@ -15,8 +15,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], out: str = "ic") -> D
     """n and rank correlation a group over rows that have both; null under three rows or for a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.withColumns({"_rx": midrank(x, by), "_ry": midrank(y, by)})
-    agg = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_c"), (F.min("_rx") == F.max("_rx")).alias("_fx"), (F.min("_ry") == F.max("_ry")).alias("_fy"))
-    return agg.select(*by, "n", F.when((F.col("n") >= 3) & ~F.col("_fx") & ~F.col("_fy"), F.col("_c")).alias(out))
+    # corr itself divides by zero on a constant side under ANSI rules, so its parts are divided behind a guard
+    agg = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), (F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_s"))
+    return agg.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_s") > 0), F.col("_c") / F.col("_s")).alias(out))
 
 
 def buckets(df: DataFrame, value: str, by: list[str], k: int, tie: str, out: str = "bucket") -> DataFrame:
