@@ -1,14 +1,17 @@
 """Mixing sources to target weights by a proportionate-fair schedule of blocks.
 
-Documents of a source are put in a seeded hash order and cut into blocks of ``block`` documents. Block
-i of a source with share w may run from slot floor((i - 1) / w) on and must run before slot ceil(i / w);
-in every slot, of the blocks released, the one with the earliest deadline runs. On one stream that
-meets all deadlines, so at any slot every source has had its share of blocks to within less than one.
-
-Shares are rounded to whole slots of a frame of ``frame`` slots (largest remainders, at least one
-each), which makes the schedule periodic: one frame is scheduled on the driver, and every block's slot
-follows from its number. When a source runs out, the frame is scheduled anew for those that are left,
-so every document is placed exactly once. The plan's size is sources times frame, not documents.
+Documents of a source are put in a seeded hash order and cut into blocks of ``block`` documents. In the
+ideal, fluid mix all sources run at once at rates in proportion to their weights, and when one runs
+out the others share its rate. Block i of a source may run from the slot in which the fluid mix begins
+it and must run by the slot in which that ends it: while no source has run out, from floor((i - 1) / w)
+to before ceil(i / w) at its share w. In every slot, of the blocks released, the one with the earliest
+deadline runs. As the fluid mix does each block in its window, all deadlines are met and no slot stays
+empty, so at any slot every source is within less than one block of its target share.
+
+Weights are taken as exact fractions and windows are whole-number arithmetic, so nothing is rounded to
+a frame and no error builds up. The schedule is made on the driver: a few steps a block, its working
+memory by sources, its result one number a block in rows of ``frame`` blocks, which are sent to every
+task up to ``MOST_PLANNED`` blocks and else written in parts and joined.
 
 Scale: texts are not shuffled to be ranked. A document's rank in its source is its rank in a hash
 bucket of that source plus the sizes of the buckets before; buckets hold about ``bucket`` documents
@@ -23,18 +26,25 @@ win over clashing ones.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, Window
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import reduce
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import store
+
 OWN = ("block", "slot", "position")
-#: Places in the plan up to which it is sent to every task.
+#: Blocks in the plan up to which it is sent to every task; beyond, parts of so many are written.
 MOST_PLANNED = 2_000_000
 
 
 def frame_shares(weights: Mapping, frame: int) -> dict:
-    """Whole slots a frame for every source: largest remainders, at least one each."""
+    """Whole slots a frame for every source: largest remainders, at least one each. Not the targets, and not used by mix_sources."""
     total = sum(weights.values())
     frame = max(frame, len(weights))
     spare = frame - len(weights)
@@ -46,47 +56,84 @@ def frame_shares(weights: Mapping, frame: int) -> dict:
     return slots
 
 
-def edf_frame(slots: Mapping) -> dict:
-    """The slot of every block in one frame, by earliest deadline first among released blocks."""
-    frame = sum(slots.values())
-    windows = sorted(((i * frame) // a, -(-(i + 1) * frame // a), repr(s), s, i) for s, a in slots.items() for i in range(a))
-    out: dict = {s: [0] * a for s, a in slots.items()}
-    ready: list = []
-    at = 0
-    for t in range(frame):
-        while at < len(windows) and windows[at][0] <= t:
-            heapq.heappush(ready, windows[at][1:])
-            at += 1
-        deadline, _, s, i = heapq.heappop(ready)
+def schedule(blocks: Mapping, weights: Mapping) -> Iterator:
+    """The source of every slot, by earliest deadline first among released blocks."""
+    order = sorted((s for s in blocks if blocks[s]), key=repr)
+    exact = [Fraction(str(weights[s])) for s in order]
+    whole = lcm(*(w.denominator for w in exact))
+    rate = [int(w * whole) for w in exact]
+    count = [blocks[s] for s in order]
+    # the fluid mix has done count / rate of every source at once: a source runs out when that is its own
+    ends = sorted(range(len(order)), key=lambda k: Fraction(count[k], rate[k]))
+    ended, alive = [0], [sum(rate)]
+    for k in ends:
+        ended.append(ended[-1] + count[k])
+        alive.append(alive[-1] - rate[k])
+    at, done = [0] * len(order), [0] * len(order)
+
+    def window(k: int) -> tuple[int, int]:
+        """Release and deadline of the next block of a source; the fluid time is ended + i * alive / rate."""
+        j, i, r = at[k], done[k], rate[k]
+        while i * rate[ends[j]] > count[ends[j]] * r:
+            j += 1
+        begin = ended[j] + i * alive[j] // r
+        i += 1
+        while i * rate[ends[j]] > count[ends[j]] * r:
+            j += 1
+        at[k] = j
+        return begin, ended[j] - (-i * alive[j] // r)
+
+    waiting, ready = [], []
+    for k in range(len(order)):
+        begin, deadline = window(k)
+        heapq.heappush(waiting, (begin, deadline, k))
+    for t in range(sum(count)):
+        while waiting and waiting[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        deadline, k = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a block missed its deadline")
-        out[s][i] = t
-    return out
+        yield order[k]
+        done[k] += 1
+        if done[k] < count[k]:
+            begin, deadline = window(k)
+            heapq.heappush(waiting, (begin, deadline, k))
 
 
-def phases(blocks: Mapping, weights: Mapping, frame: int) -> list[tuple]:
-    """(source, first block, blocks of the phase, blocks a frame, first slot, frame length, slots in a frame).
-
-    A phase runs whole frames while all its sources last, then the one frame in which one runs out.
-    """
-    left, done, out, slot = dict(blocks), dict.fromkeys(blocks, 0), [], 0
-    left = {s: n for s, n in left.items() if n}
-    while left:
-        slots = frame_shares({s: weights[s] for s in left}, frame)
-        length, place = sum(slots.values()), edf_frame(slots)
-        whole = min(left[s] // slots[s] for s in left)
-        for frames in ([whole] if whole else []) + [1]:
-            for s in list(left):
-                n = min(left[s], frames * slots[s])
-                if n:
-                    out.append((s, done[s], n, slots[s], slot, length, place[s]))
-                done[s] += n
-                left[s] -= n
-            slot += frames * length
-        left = {s: n for s, n in left.items() if n}
+def edf_frame(slots: Mapping) -> dict:
+    """The slot of every block in one frame of whole slots a source."""
+    out: dict = {s: [] for s in slots}
+    for t, s in enumerate(schedule(slots, slots)):
+        out[s].append(t)
     return out
 
 
+def planned(blocks: Mapping, weights: Mapping, frame: int, most: int) -> Iterator[list[tuple]]:
+    """Rows (source, number of the row in its source, slots of up to ``frame`` blocks), about ``most`` blocks at a time."""
+    open_rows: dict = {s: array("q") for s in blocks}
+    number = dict.fromkeys(blocks, 0)
+    rows: list[tuple] = []
+    held = 0
+    for t, s in enumerate(schedule(blocks, weights)):
+        row = open_rows[s]
+        row.append(t)
+        if len(row) == frame:
+            rows.append((s, number[s], row))
+            number[s] += 1
+            open_rows[s] = array("q")
+            held += frame
+            if held >= most:
+                yield rows
+                rows, held = [], 0
+    yield rows + [(s, number[s], row) for s, row in open_rows.items() if row]
+
+
+def _plan_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    names = ("_planned", "_frame", "_places")
+    types = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+    return spark.createDataFrame(pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names))
+
+
 def mix_sources(documents: DataFrame, *, weights: Mapping | None = None, temperature: float = 0.5, block: int = 16, frame: int = 1000, bucket: int = 20_000, seed: int = 7) -> DataFrame:
     """All columns and block (number in its source), slot and position (unique order key: slot, then rank in the block).
 
@@ -107,9 +154,10 @@ def mix_sources(documents: DataFrame, *, weights: Mapping | None = None, tempera
         share = {s: given.get(s, mean) for s in sizes}
     else:
         share = {s: n**temperature for s, n in sizes.items()}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, share, frame)
-    schema = "_source string, _from long, _blocks long, _each long, _slot0 long, _length long, _places array<long>"
-    table = spark.createDataFrame(plan, schema).withColumn("_to", F.col("_from") + F.col("_blocks"))
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    small = sum(blocks.values()) <= MOST_PLANNED
+    parts = [_plan_table(spark, rows) if small else store.save(_plan_table(spark, rows), "plan") for rows in planned(blocks, share, frame, MOST_PLANNED) if rows]
+    table = reduce(DataFrame.unionByName, parts)
 
     buckets = max(1, -(-sum(sizes.values()) // bucket))
     in_bucket = F.pmod(F.shiftrightunsigned("_key", 8), F.lit(buckets))
@@ -120,12 +168,10 @@ def mix_sources(documents: DataFrame, *, weights: Mapping | None = None, tempera
     order = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", F.xxhash64(*columns))
     ranked = keyed.withColumn("_row", F.row_number().over(order)).join(offsets, ["_source", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).withColumn("block", F.floor(F.col("_rank") / block))
-    table = table.withColumnRenamed("_source", "_planned")
-    table = F.broadcast(table) if sum(len(p[-1]) for p in plan) <= MOST_PLANNED else table
-    placed = ranked.join(table, (F.col("_source") == F.col("_planned")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    i = F.col("block") - F.col("_from")
-    inside = F.get("_places", F.pmod(i, F.col("_each")).cast("int"))
-    placed = placed.withColumn("slot", F.col("_slot0") + F.floor(i / F.col("_each")) * F.col("_length") + inside)
+    ranked = ranked.withColumn("_in", F.floor(F.col("block") / frame))
+    table = F.broadcast(table) if small else table
+    placed = ranked.join(table, (F.col("_source") == F.col("_planned")) & (F.col("_in") == F.col("_frame")))
+    placed = placed.withColumn("slot", F.get("_places", F.pmod(F.col("block"), F.lit(frame)).cast("int")))
     position = F.col("slot") * block + F.pmod(F.col("_rank"), F.lit(block))
     return placed.withColumn("position", position).select(*columns, *(F.col(c).cast("long").alias(c) for c in OWN))
 
