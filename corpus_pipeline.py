@@ -8,13 +8,15 @@ returns the packed pieces. Stages share no state but those tables.
 - ``line_dedup`` deletes later copies of runs of lines; a document left without a word goes.
 - ``near_duplicates`` keeps, of every group of linked documents, the one with the smallest id, of
   rows that share that id all; documents without an id are in no group and stay.
-- ``mix_sources`` keeps every document and writes them in the order of the schedule, so the files and
-  the partitions read from them hold the sources in their target shares.
-- ``best_fit_packing`` packs all that is left into sequences of 2048 tokens.
+- ``mix_sources`` keeps every document and writes them in the order of the schedule: the rows of its
+  files, in the order of the files' numbers.
+- ``best_fit_packing`` packs all that is left into sequences of 2048 tokens, in contiguous ranges of that
+  order, and numbers the sequences in it, so sequence_id runs through the sources in their target shares.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +55,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_mixed_order(mix_sources(docs)).select(*docs.columns)
 
 
+def in_file_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of a Parquet table with position, their number in the order of its files and of the rows in each."""
+    sizes = docs.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # part-00012-<id>-c000: the partition's number, then the file's among those of the partition
+    number = lambda path: [int(k) for k in re.findall(r"(?:part-|-c)(\d+)(?=[-.])", path.rsplit("/", 1)[-1])]
+    before, rows = 0, []
+    for r in sorted(sizes, key=lambda r: (number(r["_file"]), r["_file"])):
+        rows.append((r["_file"], before))
+        before += r["n"]
+    table = F.broadcast(spark.createDataFrame(rows, "_file string, _before long"))
+    read = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    return read.join(table, F.col("_path") == F.col("_file")).select(*docs.columns, (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_pack(docs)
+    return best_fit_pack(in_file_order(spark, docs), position="position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from fractions import Fraction
 
-from tidemark.llm import mixing
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import mixing, packing
 
 
 def test_mix_keeps_its_target_weights(spark):
@@ -34,3 +38,24 @@ def test_a_plan_in_parts_is_the_same(spark, monkeypatch):
     whole = mixing.mix_sources(docs, block=2, frame=10)
     monkeypatch.setattr(mixing, "MOST_PLANNED", 50)
     assert whole.exceptAll(mixing.mix_sources(docs, block=2, frame=10)).count() == 0
+
+
+def test_packed_sequences_follow_the_mix(spark):
+    """Weights 2 : 1 until b runs out after 2,400 of 4,000 documents: every shard before that holds a third of b."""
+    docs = spark.createDataFrame([(i, f"word {i} " * (1 + i % 90), "en", "b" if i % 5 == 0 else "a", 1) for i in range(4000)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.store.save(corpus_pipeline.mixing(spark, docs.repartition(3), ""), "mix")
+    place = {r["doc_id"]: r["position"] for r in mixing.mix_sources(docs).collect()}
+    placed = corpus_pipeline.in_file_order(spark, mixed).orderBy("position").collect()
+    assert [r["position"] for r in placed] == list(range(4000)) and [r["doc_id"] for r in placed] == sorted(place, key=place.get)
+    packed = packing.best_fit_pack(corpus_pipeline.in_file_order(spark, mixed), position="position", shard_items=400).collect()
+    shards: dict = {}
+    for r in packed:
+        shards.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert sorted(shards) == list(range(10)) and len({r["doc_id"] for r in packed}) == 4000
+    for k, rows in shards.items():
+        b = sum(r["doc_id"] % 5 == 0 for r in rows)
+        assert abs(b - (len(rows) / 3 if k < 6 else 0)) <= 32, (k, b, len(rows))
+        opened = [place[r["doc_id"]] for r in sorted(rows, key=lambda r: r["sequence_id"]) if r["offset"] == 0]
+        assert opened == sorted(opened)
+    order = [r["doc_id"] % 5 == 0 for r in sorted(corpus_pipeline.best_fit_packing(spark, mixed, "").collect(), key=lambda r: r["sequence_id"]) if r["offset"] == 0]
+    assert abs(sum(order[: len(order) // 2]) / (len(order) // 2) - 1 / 3) < 0.1 and sum(order[-len(order) // 4 :]) == 0

@@ -11,6 +11,10 @@ Scale: texts are read once and never shuffled. Only (document, piece, length) ro
 hash of their place, into shards of about ``shard_items`` pieces, each packed on its own; a shard
 leaves at most a few sequences open, so the loss against one global packing is a constant per shard.
 
+Order: with a ``position`` column, shards are contiguous ranges of it instead, and within a shard
+sequences are numbered by the position of the piece that opened them, so sequence_id runs through the
+documents in their order, up to the mixing of one shard. Positions are taken to be about evenly spread.
+
 Defined results: null and empty texts are one separator token; a null doc_id is kept; repeated rows
 are packed one by one; ties go by doc_id, then piece; an empty table gives an empty result; further
 columns of the input are ignored.
@@ -104,14 +108,18 @@ def _tokenise(vocabulary: str, size: int):
         encode = token_encoder(vocabulary)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
+            repeats = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blob = encode(text.as_py() or "") + SEPARATOR
                 n = len(blob) // 4
                 starts = piece_starts(n, size)
+                repeats.append(len(starts))
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
                     for column, value in zip(rows, (doc_id, k, a, b - a, zlib.crc32(memoryview(blob)[4 * a : 4 * b])), strict=True):
                         column.append(value)
-            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])]
+            places = [batch.column(k).take(pa.array(np.repeat(np.arange(len(repeats)), repeats))) for k in range(2, batch.num_columns)]
+            yield pa.record_batch([*columns, *places], names=["doc_id", "piece", "start", "length", "ids_crc32", *batch.schema.names[2:]])
 
     return run
 
@@ -155,7 +163,12 @@ def _pack_shard(size: int, max_docs: int, max_cost: float, weights: tuple[float,
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(table["length"].to_numpy(), size, max_docs, max_cost, weights, rule)
         shard = table["shard"][0].as_py()
-        out = table.drop_columns(["shard"])
+        if "position" in table.column_names:
+            _, opener = np.unique(bins, return_index=True)
+            place = np.empty(len(opener), np.int64)
+            place[np.lexsort((table["piece"].to_numpy()[opener], table["position"].to_numpy()[opener]))] = np.arange(len(opener))
+            bins = place[bins]
+        out = table.drop_columns([c for c in ("shard", "position") if c in table.column_names])
         return out.append_column("sequence_id", pa.array(bins + (shard << 32))).append_column("offset", pa.array(offsets))
 
     return run
@@ -171,13 +184,22 @@ def best_fit_pack(
     weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3),
     rule: str = "norm",
     shard_items: int = 4096,
+    position: str | None = None,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    position: a column of whole numbers in whose order sequences are made; without it any order will do.
+    """
     if rule not in ("norm", "dot"):
         raise ValueError("rule is 'norm' or 'dot'")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = store.save(texts.mapInArrow(_tokenise(vocabulary, size), PIECES), "pieces")
-    shards = max(1, -(-pieces.count() // shard_items))
-    place = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(position).cast("long").alias("position")] if position else []))
+    pieces = store.save(texts.mapInArrow(_tokenise(vocabulary, size), PIECES + (", position long" if position else "")), "pieces")
+    if position:
+        n, low, high = pieces.agg(F.count(F.lit(1)), F.min("position"), F.max("position")).first()
+        shards = max(1, -(-n // shard_items))
+        place = F.floor((F.col("position") - (low or 0)) * F.lit(shards / ((high or 0) - (low or 0) + 1)))
+    else:
+        shards = max(1, -(-pieces.count() // shard_items))
+        place = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards))
     dealt = pieces.withColumn("shard", place.cast("long"))
     return dealt.groupBy("shard").applyInArrow(_pack_shard(size, max_docs, float(max_cost or size * size), weights, rule), PACKED)
