@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import mixing, packing
+from tidemark.llm.license_scan import license_detections, rules
 
 
 def test_mix_keeps_its_target_weights(spark):
@@ -59,3 +61,43 @@ def test_packed_sequences_follow_the_mix(spark):
         assert opened == sorted(opened)
     order = [r["doc_id"] % 5 == 0 for r in sorted(corpus_pipeline.best_fit_packing(spark, mixed, "").collect(), key=lambda r: r["sequence_id"]) if r["offset"] == 0]
     assert abs(sum(order[: len(order) // 2]) / (len(order) // 2) - 1 / 3) < 0.1 and sum(order[-len(order) // 4 :]) == 0
+
+
+def forms(parsed) -> list[str]:
+    """Texts that a rule's pattern matches: every alternative, and optional parts both with and without."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(v) if str(k) == "LITERAL" else chr(v[0]) for k, v in arg]
+        elif name == "SUBPATTERN":
+            more = forms(arg[-1])
+        elif name == "BRANCH":
+            more = [f for branch in arg[1] for f in forms(branch)]
+        elif name == "MAX_REPEAT":
+            more = [*([""] if arg[0] == 0 else []), *(f * max(1, arg[0]) for f in forms(arg[2]))]
+        else:
+            assert name == "ASSERT_NOT", name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_is_tried_on_all_it_matches(spark):
+    texts = {}
+    for number, _, keyword, _, _, pattern in rules():
+        assert len(found := forms(re._parser.parse(pattern))) > 0
+        for f in found:
+            assert re.fullmatch(pattern, f) and keyword in f, (keyword, f)
+        texts[number] = found[len(found) // 2]
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string").repartition(8)
+    names = ("doc_id", "labels", "score", "detections")
+    gated, whole = ({r["doc_id"]: r for r in license_detections(docs, gated=g).select(*names).collect()} for g in (True, False))
+    assert gated == whole and all(r["detections"] for r in gated.values())
+
+
+@pytest.mark.parametrize(("text", "label"), [("released under the GNU GPL", "gpl"), ("It may not be reproduced.", "no-redistribution"), ("GNU Library General Public License", "lgpl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit")])
+def test_license_wordings_without_the_family_keyword(spark, text, label):
+    assert label in license_detections(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"].split(",")

@@ -28,7 +28,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are always reported, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Rule families: label, keyword, priority, confidence, patterns over lower-case words. ``{v}`` stands
+#: Rule families: label, keyword (which every match of the patterns holds), priority, confidence, patterns over lower-case words. ``{v}`` stands
 #: for each of the versions, whose dots are spaces in the words; a family without versions has one form.
 #: Priority 3: a notice's own wording; 2: a name with its version; 1: a name or a general clause.
 _LICEN = "licen[cs]e"
@@ -36,15 +36,18 @@ _FAMILIES: tuple[tuple[str, str, int, float, tuple[str, ...], tuple[str, ...]],
     ("apache-{v}", "apache", 3, 1.0, ("1.0", "1.1", "2.0"), (rf"licensed under the apache {_LICEN} version {{v}}", rf"under the terms of the apache {_LICEN} version {{v}}")),
     ("apache-{v}", "apache", 2, 0.9, ("1.0", "1.1", "2.0"), (rf"apache {_LICEN} (?:version |v)?{{v}}", r"apache {v}")),
     ("apache", "apache", 1, 0.6, (), (rf"apache (?:software )?{_LICEN}", r"apache software foundation")),
-    ("mit", "mit", 3, 1.0, (), (rf"(?:released|licensed|distributed|available) under the (?:terms of the )?mit {_LICEN}", r"permission is hereby granted free of charge to any person obtaining a copy")),
+    ("mit", "mit", 3, 1.0, (), (rf"(?:released|licensed|distributed|available) under the (?:terms of the )?mit {_LICEN}",)),
+    ("mit", "permission is hereby granted", 3, 1.0, (), (r"permission is hereby granted free of charge to any person obtaining a copy",)),
     ("mit", "mit", 2, 0.9, (), (rf"the mit {_LICEN}", rf"mit {_LICEN}", rf"{_LICEN} mit")),
     ("gpl-{v}", "general public", 3, 1.0, ("1", "2", "3"), (rf"licensed under the (?:terms of the )?gnu general public {_LICEN} (?:version |v)?{{v}}(?: or (?:any )?later)?", rf"terms of the gnu general public {_LICEN} as published by the free software foundation either version {{v}}")),
     ("gpl-{v}", "general public", 2, 0.9, ("1", "2", "3"), (rf"(?:gnu )?general public {_LICEN} (?:version |v)?{{v}}", rf"version {{v}} of the gnu general public {_LICEN}")),
     ("gpl-{v}", "gpl", 2, 0.8, ("1.0", "2.0", "3.0", "2", "3"), (r"gpl(?: version| v)? ?{v}", r"gplv{v}", r"gpl {v} (?:only|or later)")),
-    ("gpl", "general public", 1, 0.6, (), (rf"gnu general public {_LICEN}", rf"gnu gpl")),
+    ("gpl", "general public", 1, 0.6, (), (rf"gnu general public {_LICEN}",)),
+    ("gpl", "gnu gpl", 1, 0.6, (), (r"gnu gpl",)),
     ("lgpl-{v}", "lesser general", 3, 1.0, ("2.1", "3"), (rf"gnu lesser general public {_LICEN} (?:version |v)?{{v}}",)),
     ("lgpl-{v}", "lgpl", 2, 0.8, ("2.0", "2.1", "3.0", "2", "3"), (r"lgpl(?: version| v)? ?{v}", r"lgplv{v}")),
-    ("lgpl", "lesser general", 2, 0.7, (), (rf"lesser general public {_LICEN}", rf"library general public {_LICEN}")),
+    ("lgpl", "lesser general", 2, 0.7, (), (rf"lesser general public {_LICEN}",)),
+    ("lgpl", "library general", 2, 0.7, (), (rf"library general public {_LICEN}",)),
     ("agpl-{v}", "affero", 3, 1.0, ("1", "3"), (rf"(?:gnu )?affero general public {_LICEN} (?:version |v)?{{v}}",)),
     ("agpl", "agpl", 2, 0.8, (), (r"agpl ?(?:v|version )?3?",)),
     ("bsd-{v}-clause", "bsd", 2, 0.9, ("0", "1", "2", "3", "4"), (r"bsd {v} clause", rf"{{v}} clause bsd(?: {_LICEN})?")),
@@ -86,7 +89,8 @@ _FAMILIES: tuple[tuple[str, str, int, float, tuple[str, ...], tuple[str, ...]],
     ("spdx", "spdx", 2, 0.8, (), (r"spdx license identifier [a-z0-9]+(?: [0-9]+)*",)),
     ("proprietary", "proprietary", 1, 0.5, (), (r"proprietary and confidential", r"confidential and proprietary", rf"proprietary {_LICEN}")),
     ("non-commercial", "commercial", 1, 0.5, (), (r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", r"not for commercial use")),
-    ("no-redistribution", "redistribut", 1, 0.5, (), (r"(?:may|must) not be (?:copied|reproduced|redistributed)", r"redistribution is (?:prohibited|not permitted)")),
+    ("no-redistribution", " not be ", 1, 0.5, (), (r"(?:may|must) not be (?:copied|reproduced|redistributed)",)),
+    ("no-redistribution", "redistribution is", 1, 0.5, (), (r"redistribution is (?:prohibited|not permitted)",)),
     ("copyright", "copyright", 1, 0.4, (), (r"copyright (?:c )?(?:19|20)[0-9]{2}", r"copyright (?:c )?[a-z0-9]+(?: [a-z0-9]+){0,3} all rights reserved")),
     ("reserved", "rights reserved", 1, 0.5, (), (r"all rights reserved", r"some rights reserved")),
 )
@@ -161,8 +165,11 @@ def _uncontained(detections: Column) -> Column:
     return F.aggregate(detections, start, step, lambda acc: acc["out"])
 
 
-def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, n_words, the phrases' places, detections (spans in the word string), labels and score."""
+def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), gated: bool = True) -> DataFrame:
+    """The carried columns, n_words, the phrases' places, detections (spans in the word string), labels and score.
+
+    gated: try only the rules whose keyword a text holds; the result is the same without.
+    """
     table = rules()
     df = documents.withColumn("_words", _words_string(F.col("text")))
     df = df.withColumns({"n_words": F.when(F.length("_words") == 0, F.lit(0)).otherwise(_spaces(F.col("_words")) + 1).cast("long"), "_padded": F.concat(F.lit(" "), F.col("_words"), F.lit(" "))})
@@ -170,7 +177,7 @@ def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",
     keywords = sorted({r[2] for r in table})
     literal = F.array(*[F.struct(F.lit((3 - priority) * 10000 + k).alias("rank"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")) for k, label, keyword, priority, confidence, pattern in table])
     df = df.withColumn("_held", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_words"), k)))
-    df = df.withColumn("_rules", F.when(F.size("_held") > 0, F.filter(literal, lambda r: F.array_contains("_held", r["keyword"]))))
+    df = df.withColumn("_rules", F.when(F.size("_held") > 0, F.filter(literal, lambda r: F.array_contains("_held", r["keyword"]))) if gated else literal)
     every = F.flatten(F.transform("_rules", lambda r: _found_by(F.col("_words"), r)))
     order = lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("far"), d["rank"].alias("rank"), d["stop"].alias("stop"), d["label"].alias("label"), d["confidence"].alias("confidence"))
     back = lambda d: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), d["rank"].alias("rank"), d["label"].alias("label"), d["confidence"].alias("confidence"))
