@@ -132,12 +132,21 @@ COMPANY = "c as (select c_custkey entity, abs(c_acctbal)+100.0 rev, (c_custkey%2
 DCF_SQL = f"with recursive {COMPANY}, y as (select entity, 0 t, rev::double rev, 0.0::double pv, 0.0::double f, g1, margin, rate from c union all select entity, t+1, rev*(1+g1+(0.03-g1)*t/9.0::double), pv + ({{F}})/power(1+rate, t+0.5), ({{F}}), g1, margin, rate from y where t<10) select entity, round(pv + f*1.025/(rate-0.025)/power(1+rate,9.5),4) as value from y where t=10".replace("{F}", "(rev*(1+g1+(0.03-g1)*t/9.0::double))*(margin+(0.2-margin)*t/9.0::double)*0.75 - 0.01*rev*(1+g1+(0.03-g1)*t/9.0::double) - 0.02*(rev*(1+g1+(0.03-g1)*t/9.0::double)-rev)")
 
 
-def grid(spark, d):
-    axes = company(spark, d).where("entity <= 50").withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.08, 0.09, 0.1, 0.11, 0.12)]))).withColumn("g", F.explode(F.array(*[F.lit(x) for x in (0.01, 0.015, 0.02, 0.025, 0.03)])))
+def grid_of(companies):
+    axes = companies.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.08, 0.09, 0.1, 0.11, 0.12)]))).withColumn("g", F.explode(F.array(*[F.lit(x) for x in (0.01, 0.015, 0.02, 0.025, 0.03)])))
     return axes.select("entity", "rate", "g", F.round(F.col("rev") * F.col("margin") * (1 + F.col("g")) / F.when(F.col("g") < F.col("rate"), F.col("rate") - F.col("g")) + 1e-7, 4).alias("value"))
 
 
+def grid(spark, d):
+    return grid_of(company(spark, d).where("entity <= 50"))
+
+
+def grid_whole(spark, d):
+    return grid_of(company(spark, d))
+
+
 GRID_SQL = f"with {COMPANY} select entity, r.rate::double rate, g.g::double g, round(rev*margin*(1+g.g::double)/(r.rate::double-g.g::double)+1e-7,4) as value from c, (values (0.08),(0.09),(0.1),(0.11),(0.12)) r(rate), (values (0.01),(0.015),(0.02),(0.025),(0.03)) g(g) where entity<=50"
+GRID_WHOLE_SQL = f"with {COMPANY} select entity, r.rate::double rate, g.g::double g, round(rev*margin*(1+g.g::double)/(r.rate::double-g.g::double)+1e-7,4) as value from c, (values (0.08),(0.09),(0.1),(0.11),(0.12)) r(rate), (values (0.01),(0.015),(0.02),(0.025),(0.03)) g(g)"
 
 
 def implied_rate(spark, d):
@@ -219,6 +228,7 @@ QUERIES = {
     "beta_regression": (beta, BETA_SQL),
     "dcf_projection": (dcf, DCF_SQL),
     "sensitivity_grid": (grid, GRID_SQL),
+    "sensitivity_grid_whole": (grid_whole, GRID_WHOLE_SQL),
     "bisection_rate": (implied_rate, "select c_custkey entity, round(0.02+1.02/12,6) rate from customer"),
     "treasury_stock": (treasury, TREASURY_SQL),
     "rating_step": (rating, RATING_SQL),
