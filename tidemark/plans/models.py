@@ -81,6 +81,20 @@ def co_pairs(spark, d):
 CO_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem join part on p_partkey=l_partkey where p_size=1) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
 
 
+def co_pairs_whole(spark, d, hot=1000):
+    """Symmetric pairs of suppliers that ship any part together; a part's peers meet in lots of about ``hot``."""
+    g = named(spark, d)
+    lots = g.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("lots")).where("lots > 1")
+    g = g.join(lots, "grp", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
+    x = g.select("grp", F.pmod(F.xxhash64("peer"), F.col("lots")).cast("int").alias("lot"), F.col("peer").alias("a"))
+    y = g.select("grp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("peer").alias("b"))
+    pairs = x.join(y, ["grp", "lot"]).where("a < b").select("a", "b").distinct()
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+CO_WHOLE_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
+
+
 def census(spark, d):
     o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.to_date(F.min("o_orderdate")).alias("admitted"), F.to_date(F.max("o_orderdate")).alias("departed"))
     days = spark.sql("select explode(sequence(date '1995-06-30', date '2001-06-30', interval 6 months)) as_of")
@@ -223,6 +237,7 @@ QUERIES = {
     "popularity": (popularity, "select l_suppkey peer, count(distinct l_partkey)::bigint \"groups\" from lineitem group by 1 order by 2 desc, 1 limit 25"),
     "most_named": (most_named, "select l_suppkey peer, count(distinct l_partkey)::bigint n from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal<0) group by 1 having n>=500"),
     "co_pairs": (co_pairs, CO_SQL),
+    "co_pairs_whole": (co_pairs_whole, CO_WHOLE_SQL),
     "membership_census": (census, CENSUS_SQL),
     "gap_horizon_labels": (labels, LABEL_SQL),
     "beta_regression": (beta, BETA_SQL),

@@ -202,13 +202,21 @@ def rerating(spark, d):
 RERATING_SQL = f"with {Q}, m as (select qtr, avg(ln(total)) m, count(*) n, var_pop(ln(total)) v from c group by qtr), z as (select sum(n)::bigint n, sum(n*v)/sum(n) w, sum(n*m*m)/sum(n)-power(sum(n*m)/sum(n),2) b from m) select n, round(w,6) \"within\", round(b,6) \"between\", round(b/(b+w),6) calendar_r2 from z"
 
 
-def deciles(spark, d):
-    q = quarterly(spark, d).where(F.col("qtr") == F.lit("1997-12-31").cast("date"))
+def quarter_deciles(q):
     b = F.expr("cast((row_number() over (partition by qtr order by total, entity) * 10 - 1) div count(*) over (partition by qtr) as int)")
-    return q.withColumn("bucket", b).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 4).alias("mean"))
+    return q.withColumn("bucket", b).groupBy("qtr", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 4).alias("mean"))
+
+
+def deciles(spark, d):
+    return quarter_deciles(quarterly(spark, d).where(F.col("qtr") == F.lit("1997-12-31").cast("date"))).drop("qtr")
+
+
+def deciles_whole(spark, d):
+    return quarter_deciles(quarterly(spark, d))
 
 
 DECILES_SQL = f"with {Q}, b as (select *, (row_number() over (order by total, entity)*10-1)//count(*) over () bucket from c where qtr=date '1997-12-31') select bucket::int bucket, count(*)::bigint n, round(avg(total),4) mean from b group by bucket"
+DECILES_WHOLE_SQL = f"with {Q}, b as (select *, (row_number() over (partition by qtr order by total, entity)*10-1)//count(*) over (partition by qtr) bucket from c) select qtr, bucket::int bucket, count(*)::bigint n, round(avg(total),4) mean from b group by all"
 
 QUERIES = {
     "fact_versions": (fact_choice(), fact_sql()),
@@ -235,4 +243,5 @@ QUERIES = {
     "overall_and_sector": (overall_and_sector, OVERALL_SQL),
     "rerating_variance": (rerating, RERATING_SQL),
     "reversion_deciles": (deciles, DECILES_SQL),
+    "reversion_deciles_whole": (deciles_whole, DECILES_WHOLE_SQL),
 }
