@@ -4,12 +4,15 @@ A mapper works through its texts in *lots* (at most ``LOT_ITEMS`` items each, na
 number, so a retried task names them alike). Items of a lot go to the owners of their keys; what the
 owners find comes back by lot, meets the lot's table of documents, and leaves as one row a document.
 Rows of the exchange are (to, lot, kind, load); ``load`` holds the arrays. Owners are as many as the
-input's size asks for, so what one task holds is bounded however large the input is.
+input's size asks for. A partition holds one owner or more, sorted, and works through them one after
+another, so what a task holds at once is one owner's rows however large the input is, and
+the number of partitions is bounded.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ _ARROW = pa.schema([("to", pa.int32()), ("lot", pa.int64()), ("kind", pa.int32()
 #: Kinds of rows: the documents of a lot, items for their owner, places already known to be hits.
 DOCS, ITEMS, HITS = 0, 1, 2
 LOT_ITEMS = 4_000_000
+#: Partitions that owners are dealt to at most; more owners share them and take turns.
+MOST_PARTITIONS = 20_000
 _CODES = {"u1": 0, "u2": 1, "u4": 2, "u8": 3, "i8": 4}
 _TYPES = {v: np.dtype(f"<{k}") for k, v in _CODES.items()}
 
@@ -84,8 +89,29 @@ def owners_for(n_bytes: int, share: int) -> int:
     return max(16, -(-n_bytes // share))
 
 
-def deal(df: DataFrame, owners: int, by: str = "to") -> DataFrame:
-    return df.repartition(owners, by)
+def deal(df: DataFrame, owners: int) -> DataFrame:
+    """Rows by owner: each partition holds whole owners, one after another."""
+    return df.repartition(min(owners, MOST_PARTITIONS), "to").sortWithinPartitions("to")
+
+
+def by_owner(batches) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The rows (lot, kind, load) of one owner at a time, of batches that are sorted by owner."""
+    at, rows = None, []
+    for b in batches:
+        for to, lot, kind, load in zip(b.column("to").to_pylist(), b.column("lot").to_pylist(), b.column("kind").to_pylist(), b.column("load"), strict=True):
+            if to != at:
+                if rows:
+                    yield rows
+                at, rows = to, []
+            rows.append((lot, kind, load.as_py()))
+    if rows:
+        yield rows
+
+
+def edges_of(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(owner, begin, end) of every run of a sorted array of owners."""
+    heads = np.flatnonzero(np.diff(to, prepend=-1))
+    yield from zip(to[heads].tolist(), heads.tolist(), np.append(heads[1:], len(to)).tolist(), strict=True)
 
 
 def texts(documents: DataFrame) -> DataFrame:

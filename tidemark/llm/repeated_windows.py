@@ -83,14 +83,13 @@ def _ask_rows(owners: int, number: int, doc_ids, prints, h, check, docs, starts)
         rows.append(x.hits_row(owners, lot, docs[known], starts[known]))
     ask = np.sort(order[~later])
     to = (h[ask] % U(owners)).astype(np.int64)
-    ask = ask[np.argsort(to, kind="stable")]
-    edges = np.searchsorted(np.sort(to), np.arange(owners + 1))
-    for o in range(owners):
-        part = ask[edges[o] : edges[o + 1]]
-        if len(part):
-            there, which = np.unique(docs[part], return_inverse=True)
-            counts = np.bincount(which).astype(np.uint16) if len(part) < 65536 else np.bincount(which).astype(np.uint32)
-            rows.append((o, lot, x.ITEMS, x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), counts, h[part], check[part], *x.planes(starts[part]))))
+    by = np.argsort(to, kind="stable")
+    ask, to = ask[by], to[by]
+    for o, a, b in x.edges_of(to):
+        part = ask[a:b]
+        there, which = np.unique(docs[part], return_inverse=True)
+        counts = np.bincount(which).astype(np.uint16) if len(part) < 65536 else np.bincount(which).astype(np.uint32)
+        rows.append((o, lot, x.ITEMS, x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), counts, h[part], check[part], *x.planes(starts[part]))))
     return rows
 
 
@@ -120,38 +119,32 @@ def _asks(size: int, owners: int, bits: int, maps):
     return run
 
 
-def _answers(owners: int):
-    """An owner's partition: windows of all lots by key; those after a smaller id go back to their lots."""
-
-    def run(batches):
-        lots, docs, ids, h, check, starts, passed = [], [], [], [], [], [], []
-        for b in batches:
-            for lot, kind, load in zip(b.column("lot").to_pylist(), b.column("kind").to_pylist(), b.column("load"), strict=True):
-                if kind != x.ITEMS:
-                    passed.append((0, lot, kind, load.as_py()))
-                    continue
-                low, high, did, counts, keys, c, s0, s1 = x.unpack(load.as_py())
-                there = np.cumsum(x.joined(low, high))
-                docs.append(np.repeat(there, counts))
-                ids.append(np.repeat(np.cumsum(did), counts))
-                lots.append(np.full(len(keys), lot, np.int64))
-                h.append(keys)
-                check.append(c)
-                starts.append(x.joined(s0, s1))
-            if passed:
-                yield x.batch(passed)
-                passed = []
-        if not h:
-            return
+def _settled_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """One owner's windows of all lots by key; those after a smaller id go back to their lots, other rows pass."""
+    out = [(0, lot, kind, load) for lot, kind, load in rows if kind != x.ITEMS]
+    lots, docs, ids, h, check, starts = [], [], [], [], [], []
+    for lot, kind, load in rows:
+        if kind == x.ITEMS:
+            low, high, did, counts, keys, c, s0, s1 = x.unpack(load)
+            docs.append(np.repeat(np.cumsum(x.joined(low, high)), counts))
+            ids.append(np.repeat(np.cumsum(did), counts))
+            lots.append(np.full(len(keys), lot, np.int64))
+            h.append(keys)
+            check.append(c)
+            starts.append(x.joined(s0, s1))
+    if h:
         order, _, later = settle((np.concatenate(check), np.concatenate(h)), np.concatenate(ids))
         found = order[later]
         lot, doc, start = np.concatenate(lots)[found], np.concatenate(docs)[found], np.concatenate(starts)[found]
         by = np.argsort(lot, kind="stable")
         lot, doc, start = lot[by], doc[by], start[by]
-        edges = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
-        yield x.batch([x.hits_row(1, int(lot[a]), doc[a:b], start[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        out += [x.hits_row(1, i, doc[a:b], start[a:b]) for i, a, b in x.edges_of(lot)]
+    return x.batch(out)
 
-    return run
+
+def _answers(batches):
+    for rows in x.by_owner(batches):
+        yield _settled_rows(rows)
 
 
 def _result(batches):
@@ -183,7 +176,7 @@ def repeated_word_runs(documents: DataFrame, size: int = 50, owner_bytes: int =
     maps = spark.sparkContext.broadcast(countmin.repeated_cells(parts, bits, shards))
     owners = x.owners_for(n_bytes, owner_bytes)
     asks = texts.mapInArrow(_asks(size, owners, bits, maps), x.SCHEMA)
-    answers = x.deal(asks, owners).mapInArrow(_answers(owners), x.SCHEMA)
+    answers = x.deal(asks, owners).mapInArrow(_answers, x.SCHEMA)
     return store.save(x.covered_runs(answers, size), "word-runs")
 
 

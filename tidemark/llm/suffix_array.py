@@ -86,8 +86,11 @@ def suffix_array(text: np.ndarray, reach: int) -> np.ndarray:
         by = np.argsort(chars, kind="stable")
         preds, chars = preds[by], chars[by]
         counts = np.bincount(chars, minlength=257)
-        rank = np.arange(len(preds)) - (np.cumsum(counts) - counts)[chars]
-        out[fill[chars] + step * rank] = preds
+        rank = np.arange(len(preds), dtype=np.int32)
+        rank -= (np.cumsum(counts) - counts).astype(np.int32)[chars]
+        rank *= step
+        rank += fill.astype(np.int32)[chars]
+        out[rank] = preds
         fill += step * counts
 
     def before(batch: np.ndarray, kind: bool) -> np.ndarray:
@@ -119,11 +122,11 @@ def suffix_array(text: np.ndarray, reach: int) -> np.ndarray:
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """For each place of the text, how much of it its predecessor in the order shares, up to cap bytes."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     words = _words_at(text, cap)
     shared = np.zeros(n, np.int32)
-    alive = np.flatnonzero(before >= 0)
+    alive = np.flatnonzero(before >= 0).astype(np.int32)
     other = before[alive]
     for done in range(0, cap, WORD):
         apart = words[alive + done].astype(np.uint64) ^ words[other + done].astype(np.uint64)
@@ -135,4 +138,4 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarr
         shared[alive[~same]] = done + bytes_same
         alive, other = alive[same], other[same]
         shared[alive] = done + WORD
-    return np.minimum(np.minimum(shared, cap), n - np.maximum(before, np.arange(n)))
+    return np.minimum(np.minimum(shared, cap), n - np.maximum(before, np.arange(n, dtype=np.int32)))

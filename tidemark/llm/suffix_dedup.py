@@ -89,8 +89,10 @@ def _sketch(size: int, bits: int, shards: int):
 def cut(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces of data, one after another."""
     ends = np.cumsum(lengths)
-    jump = np.repeat(starts - (ends - lengths), lengths)
-    return data[np.arange(len(jump)) + jump]
+    kind = np.int32 if max(len(data), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    jump = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    jump += np.arange(len(jump), dtype=kind)
+    return data[jump]
 
 
 def _content(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +127,13 @@ def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs,
     to = (keys[ask] % U(owners)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     ask, to = ask[by], to[by]
-    edges = np.searchsorted(to, np.arange(owners + 1))
-    ends = np.cumsum(lengths)
-    for o in range(owners):
-        part = ask[edges[o] : edges[o + 1]]
-        if len(part):
-            there, which = np.unique(docs[part], return_inverse=True)
-            n = np.bincount(which).astype(np.uint32)
-            body = cut(data, (ends - lengths)[part], lengths[part])
-            rows.append((o, lot, x.ITEMS, x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), body)))
+    begins = np.cumsum(lengths) - lengths
+    for o, a, b in x.edges_of(to):
+        part = ask[a:b]
+        there, which = np.unique(docs[part], return_inverse=True)
+        n = np.bincount(which).astype(np.uint32)
+        body = cut(data, begins[part], lengths[part])
+        rows.append((o, lot, x.ITEMS, x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), body)))
     return rows
 
 
@@ -214,28 +214,31 @@ def _answer(size: int, lots, docs, ids, starts, counts, data) -> list[tuple[np.n
     return hits
 
 
-def _answers(size: int):
-    def run(batches):
-        held, passed = [], []
-        for b in batches:
-            for lot, kind, load in zip(b.column("lot").to_pylist(), b.column("kind").to_pylist(), b.column("load"), strict=True):
-                if kind != x.ITEMS:
-                    passed.append((0, lot, kind, load.as_py()))
-                    continue
-                d0, d1, did, n0, n1, s0, s1, counts, body = x.unpack(load.as_py())
-                n = x.joined(n0, n1)
-                held.append((np.full(len(counts), lot, np.int64), np.repeat(np.cumsum(x.joined(d0, d1)), n), np.repeat(np.cumsum(did), n), x.joined(s0, s1), counts.astype(np.int64), body))
-            if passed:
-                yield x.batch(passed)
-                passed = []
-        if not held:
-            return
-        found = _answer(size, *(np.concatenate(c) for c in zip(*held, strict=True)))
+def _shard(size: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """One owner's segments of all lots -> hits by lot; other rows pass."""
+    out = [(0, lot, kind, load) for lot, kind, load in rows if kind != x.ITEMS]
+    held = []
+    for lot, kind, load in rows:
+        if kind == x.ITEMS:
+            d0, d1, did, n0, n1, s0, s1, counts, body = x.unpack(load)
+            n = x.joined(n0, n1)
+            held.append((np.full(len(counts), lot, np.int64), np.repeat(np.cumsum(x.joined(d0, d1)), n), np.repeat(np.cumsum(did), n), x.joined(s0, s1), counts.astype(np.int64), body))
+    rows.clear()
+    if held:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        found = _answer(size, *columns)
         lot, doc, start, count = (np.concatenate(c) for c in zip(*found, strict=True))
         by = np.argsort(lot, kind="stable")
         lot, doc, start, count = lot[by], doc[by], start[by], count[by]
-        edges = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
-        yield x.batch([x.hits_row(1, int(lot[a]), doc[a:b], start[a:b], count[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        out += [x.hits_row(1, i, doc[a:b], start[a:b], count[a:b]) for i, a, b in x.edges_of(lot)]
+    return x.batch(out)
+
+
+def _answers(size: int):
+    def run(batches):
+        for rows in x.by_owner(batches):
+            yield _shard(size, rows)
 
     return run
 
@@ -255,7 +258,7 @@ def _result(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int = 2 << 20) -> DataFrame:
+def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, print and the byte runs (start, end, ...) that a smaller id has too, as a saved table."""
     spark = documents.sparkSession
     n_bytes = x.text_bytes(documents)
