@@ -11,13 +11,17 @@ second sketch of single parity bits, at least as many as tokens, rejects pairs b
 
 Equal sets are one node, known by a 64-bit print. In every bucket of equal segments each node is
 paired with the smallest; verified pairs already connect most of a group, so a group of thousands
-costs thousands of pairs. Only buckets in which such a pair failed are looked at again: pairs of
-different components that the bit sketch lets through are verified as well. Verification compares
+costs thousands of pairs. Buckets in which such a pair failed and that still hold two components or more
+are looked at again, in rounds: every node outside a bucket's largest component names its nearest
+partners in other components that the bit sketches and sizes let through, a few at first and, where it has more,
+eight times as many in every further round; named pairs are verified and components merge. No pair inside a component is
+named, and rounds end when no node has more partners than it was allowed to name, so no link is lost. A bucket of many nodes
+is compared in blocks of ``CHUNK`` rows and columns, each a task's group of its own. Verification compares
 whole sets and is exact up to 48-bit token hashes.
 
 Scale: texts are scanned twice. Segments travel packed (see ``exchange``); the second scan computes
-sets only of documents in candidate pairs and sends a member's set to its hub, hot hubs salted. Texts
-are not shuffled while the list of those documents fits ``most_broadcast`` bytes (checked), else
+sets only of documents in candidate pairs and sends a member's set to its hub, hot hubs salted; so does
+the scan of each round. Texts are not shuffled while the list of those documents fits ``most_broadcast`` bytes (checked), else
 they meet it in a sort-merge join. The segments kept leave room of nine standard deviations and
 more for the pigeonhole condition.
 
@@ -28,6 +32,8 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +46,15 @@ from tidemark.llm.text import GOLDEN, U, Block, blocks, mix, window_hashes, wind
 
 LEAST_BITS = 1024
 OWN_SEGMENT = 128
+#: Nodes on a side of a compared block; ids in one row of a hub's or bucket's members.
+CHUNK = 4096
 FOUND = "kind int, doc_id long, print long, node long, n long, sketch binary, others array<long>, load binary"
 _FOUND = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "print", "node", "n")), ("sketch", pa.binary()), ("others", pa.list_(pa.int64())), ("load", pa.binary())])
 DOC, HUB = 0, 1
+#: Sides of a block that a member takes.
+ROW, COLUMN, BOTH = 0, 1, 2
+#: Rows of blocks taken together, and pairs compared at a time.
+LOT, PAIRS = 50_000, 1 << 16
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,12 +160,10 @@ def _scan(size: int, percent: int, owners: int):
             to = (key % U(owners)).astype(np.int64)
             order = np.lexsort((doc, to))
             doc, key, to = doc[order], key[order], to[order]
-            edges = np.searchsorted(to, np.arange(owners + 1))
-            for o in range(owners):
-                d, k = doc[edges[o] : edges[o + 1]], key[edges[o] : edges[o + 1]]
-                if len(d):
-                    there, counts = np.unique(d, return_counts=True)
-                    out.append((o, lot, x.ITEMS, x.pack(node[there], counts.astype(np.uint16) if counts.max() < 65536 else counts.astype(np.uint32), (k >> U(48)).astype(np.uint16), (k >> U(16)).astype(np.uint32))))
+            for o, a, b in x.edges_of(to):
+                d, k = doc[a:b], key[a:b]
+                there, counts = np.unique(d, return_counts=True)
+                out.append((o, lot, x.ITEMS, x.pack(node[there], counts.astype(np.uint16) if counts.max() < 65536 else counts.astype(np.uint32), (k >> U(48)).astype(np.uint16), (k >> U(16)).astype(np.uint32))))
             return x.batch(out)
 
         for batch in batches:
@@ -185,26 +195,24 @@ def _found(rows: dict[str, list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(rows.get(f.name, [None] * n), f.type) for f in _FOUND], schema=_FOUND)
 
 
-def _buckets(batches):
-    """An owner's partition: documents pass; of every bucket of two nodes or more, its hub and members.
+def _document_rows(load: bytes) -> pa.RecordBatch:
+    doc, print_, node, n, sketch = x.unpack(load)
+    sketch = sketch.tobytes()
+    ends = np.cumsum(widths(n) // 8)
+    return _found({"kind": [DOC] * len(doc), "doc_id": doc, "print": print_, "node": node, "n": n, "sketch": [sketch[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]})
+
 
-    A row a hub: all its members, and packed the buckets of three or more nodes it is the smallest of.
+def _bucket_rows(loads: list[bytes]):
+    """Of every bucket of two nodes or more, its hub (the smallest) with the other members.
+
+    Rows of a hub: all its members, in parts of at most about ``CHUNK``, and packed the buckets of three nodes
+    or more, as (name, members) parts; a bucket is named by its nodes, so owners that found the same one agree.
     """
     nodes, keys = [], []
-    for b in batches:
-        for kind, load in zip(b.column("kind").to_pylist(), b.column("load"), strict=True):
-            arrays = x.unpack(load.as_py())
-            if kind == x.DOCS:
-                doc, print_, node, n, sketch = arrays
-                sketch = sketch.tobytes()
-                ends = np.cumsum(widths(n) // 8)
-                yield _found({"kind": [DOC] * len(doc), "doc_id": doc, "print": print_, "node": node, "n": n, "sketch": [sketch[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]})
-            else:
-                node, counts, high, low = arrays
-                nodes.append(np.repeat(node, counts))
-                keys.append((high.astype(U) << U(32)) | low.astype(U))
-    if not nodes:
-        return
+    for load in loads:
+        node, counts, high, low = x.unpack(load)
+        nodes.append(np.repeat(node, counts))
+        keys.append((high.astype(U) << U(32)) | low.astype(U))
     node, key = np.concatenate(nodes), np.concatenate(keys)
     order = np.lexsort((node, key))
     node, key = node[order], key[order]
@@ -222,26 +230,48 @@ def _buckets(batches):
     # buckets of the same nodes are one
     total = np.zeros(len(node) + 1, U)
     np.cumsum(mix(node.view(U)), out=total[1:])
-    _, once = np.unique(total[starts + counts] - total[starts], return_index=True)
+    names = mix(total[starts + counts] - total[starts])
+    names, once = np.unique(names, return_index=True)
     hub = node[starts[once]]
-    once = once[np.argsort(hub, kind="stable")]
-    hub = node[starts[once]]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]])), len(hub))
-    rows: dict[str, list] = {"kind": [], "node": [], "others": [], "load": []}
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
+    by = np.argsort(hub, kind="stable")
+    names, once, hub = names[by], once[by], hub[by]
+    empty: dict[str, list] = {"kind": [], "node": [], "others": [], "load": []}
+    rows = {c: [] for c in empty}
+    for _, a, b in x.edges_of(np.cumsum(np.concatenate([[True], hub[1:] != hub[:-1]]))):
         lists = [node[starts[i] + 1 : starts[i] + counts[i]] for i in once[a:b]]
-        big = [m for m in lists if len(m) > 1]
-        rows["kind"].append(HUB)
-        rows["node"].append(int(hub[a]))
-        rows["others"].append(np.unique(np.concatenate(lists)))
-        rows["load"].append(x.pack(np.array([len(m) for m in big], np.uint32), np.concatenate([*big, np.zeros(0, np.int64)])) if big else None)
-        if len(rows["kind"]) >= 5000:
+        others = np.unique(np.concatenate(lists))
+        for k in range(0, len(others), CHUNK):
+            rows["others"].append(others[k : k + CHUNK])
+        parts = [(name, m[k : k + CHUNK]) for name, m in zip(names[a:b], lists, strict=True) if len(m) > 1 for k in range(0, len(m), CHUNK)]
+        held, size = [], 0
+        for i, (name, m) in enumerate(parts):
+            held.append((name, m))
+            size += len(m)
+            if size >= CHUNK or i == len(parts) - 1:
+                rows["load"].append(x.pack(np.array([p[0] for p in held], U), np.array([len(p[1]) for p in held], np.uint32), np.concatenate([p[1] for p in held])))
+                held, size = [], 0
+        n = max(len(rows["others"]), len(rows["load"]))
+        for c in ("others", "load"):
+            rows[c] += [None] * (n - len(rows[c]))
+        rows["kind"] += [HUB] * (n - len(rows["kind"]))
+        rows["node"] += [int(hub[a])] * (n - len(rows["node"]))
+        if n >= 5000:
             yield _found(rows)
-            rows = {"kind": [], "node": [], "others": [], "load": []}
+            rows = {c: [] for c in empty}
     if rows["kind"]:
         yield _found(rows)
 
 
+def _buckets(batches):
+    """Owners' partitions: a row for every document, and those of ``_bucket_rows`` for every owner."""
+    for rows in x.by_owner(batches):
+        for _, kind, load in rows:
+            if kind == x.DOCS:
+                yield _document_rows(load)
+        if loads := [load for _, kind, load in rows if kind == x.ITEMS]:
+            yield from _bucket_rows(loads)
+
+
 def _packed_set(tokens: np.ndarray) -> bytes:
     """The upper 48 bits of a set's tokens; within a pair of sets, two tokens agree there by chance once in 10**9 pairs."""
     return (tokens >> U(32)).astype("<u4").tobytes() + (tokens >> U(16)).astype("<u2").tobytes()
@@ -342,56 +372,166 @@ def _verified(documents: DataFrame, reps: DataFrame, pairs: DataFrame, size: int
     return store.save(dealt.mapInArrow(_linked(percent), "a long, b long").distinct(), "linked")
 
 
-def _cross_pairs(percent: int):
-    """A bucket's nodes with sizes, bit sketches and components: pairs of two components that may link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node = table["member"].to_numpy()
-        root = table["root"].to_numpy()
-        n = table["n"].to_numpy()
-        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        if len(np.unique(root)) > 1:
-            width = widths(n)
-            raw = table["sketch"].to_pylist()
-            sides = {w: np.flatnonzero(width == w) for w in np.unique(width)}
-            sides = {w: at[np.argsort(n[at], kind="stable")] for w, at in sides.items()}
-            bits = {w: np.frombuffer(b"".join(raw[i] for i in at), U).reshape(len(at), -1) for w, at in sides.items()}
-            # a band's sets have at most two widths; the wider are folded to meet the narrower
-            for w, at in sides.items():
-                for v, to in sides.items():
-                    if v < w:
-                        continue
-                    wide = np.bitwise_xor.reduce(bits[v].reshape(len(to), v // w, -1), axis=1)
-                    for a in range(0, len(at), 32):
-                        i = at[a : a + 32]
-                        first, last = np.searchsorted(100 * n[to], percent * n[i[0]]), np.searchsorted(percent * n[to], 100 * n[i[-1]], "right")
-                        j = to[first:last]
-                        apart = np.bitwise_count(bits[w][a : a + 32, None, :] ^ wide[None, first:last, :]).sum(axis=2, dtype=np.int64)
-                        most = _differences(n[i][:, None], n[j][None, :], percent)
-                        r, c = np.nonzero((apart <= most) & (root[i][:, None] != root[j][None, :]))
-                        found.append(np.stack([np.minimum(node[i[r]], node[j[c]]), np.maximum(node[i[r]], node[j[c]])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _largest(group: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which items belong to the largest component of their group, the smallest one of several."""
+    order = np.lexsort((root, group))
+    g, r = group[order], root[order]
+    heads = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1])]))
+    size = np.diff(np.append(heads, len(g)))
+    best = np.lexsort((-size, g[heads]))
+    first = best[np.concatenate([[True], g[heads][best][1:] != g[heads][best][:-1]])]
+    top = np.zeros(len(heads), bool)
+    top[first] = True
+    out = np.zeros(len(group), bool)
+    out[order] = np.repeat(top, size)
+    return out
+
+
+class _Sketches:
+    """The sketches of many nodes, by width, with those of each width folded to the narrower ones as asked for."""
+
+    def __init__(self, n: np.ndarray, raw: list[bytes]):
+        self.width = widths(n)
+        self.place = np.zeros(len(n), np.int64)
+        self.bits: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.bits[w, w] = np.frombuffer(b"".join(raw[i] for i in at), U).reshape(len(at), -1)
+
+    def at(self, items: np.ndarray, wide: int, narrow: int) -> np.ndarray:
+        if (wide, narrow) not in self.bits:
+            self.bits[wide, narrow] = np.bitwise_xor.reduce(self.bits[wide, wide].reshape(len(self.bits[wide, wide]), -1, narrow // 64), axis=1)
+        return self.bits[wide, narrow][self.place[items]]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hamming distances of pairs, the wider sketch folded to the other's width."""
+        out = np.zeros(len(a), np.int64)
+        for w in np.unique(self.width[a]).tolist():
+            for v in np.unique(self.width[b]).tolist():
+                which = np.flatnonzero((self.width[a] == w) & (self.width[b] == v))
+                low = min(v, w)
+                for k in range(0, len(which), PAIRS):
+                    part = which[k : k + PAIRS]
+                    out[part] = np.bitwise_count(self.at(a[part], w, low) ^ self.at(b[part], v, low)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _pairs_of(group: np.ndarray, is_row: np.ndarray, is_column: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) items of one group, lots of them at a time."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(heads, len(group)))
+    rows = np.flatnonzero(is_row)
+    which = np.repeat(np.arange(len(heads)), size)[rows]
+    edges = np.concatenate([[0], np.cumsum(size[which])])
+    k = 0
+    while k < len(rows):
+        j = max(k + 1, int(np.searchsorted(edges, edges[k] + PAIRS, "right")) - 1)
+        n = size[which[k:j]]
+        a = np.repeat(rows[k:j], n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(heads[which[k:j]], n)
+        keep = is_column[b]
+        yield a[keep], b[keep]
+        k = j
+
+
+def _named(percent: int, most: int, group: np.ndarray, t: dict[str, np.ndarray], raw: list[bytes]) -> pa.RecordBatch:
+    """For the row nodes of these groups their nearest plausible partners in other components, and whether they have more."""
+    node, root, n, side = t["member"], t["root"], t["n"], t["side"]
+    # all components' nodes but the largest's name partners: every pair of two components has such a node
+    is_row = t["live"] & (side != COLUMN) & ~((side == BOTH) & _largest(group, root))
+    sketches = _Sketches(n, raw)
+    found: list[tuple] = []
+    for a, b in _pairs_of(group, is_row, side != ROW):
+        fits = (root[a] != root[b]) & (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a])
+        a, b = a[fits], b[fits]
+        apart = sketches.apart(a, b)
+        near = apart <= _differences(n[a], n[b], percent)
+        a, b, apart = node[a[near]], node[b[near]], apart[near]
+        order = np.lexsort((b, apart, a))
+        a, b, apart = a[order], b[order], apart[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, apart = a[new], b[new], apart[new]
+        heads = np.flatnonzero(np.diff(a, prepend=-1) != 0) if len(a) else np.zeros(0, np.int64)
+        size = np.diff(np.append(heads, len(a)))
+        rank = np.arange(len(a)) - np.repeat(heads, size)
+        keep = rank < most
+        found.append((a[keep], b[keep], apart[keep], (np.repeat(size, size) > most)[keep]))
+    a, b, apart, cut = (np.concatenate([*c, np.zeros(0, kind)]) for c, kind in zip(zip(*found, strict=True) if found else [()] * 4, (np.int64, np.int64, np.int64, bool), strict=True))
+    return pa.record_batch([pa.array(a), pa.array(b), pa.array(apart.astype(np.int32)), pa.array(cut)], names=["a", "b", "apart", "cut"])
+
+
+def _nearest(percent: int, most: int):
+    """Blocks (bucket, i, j), each in consecutive rows, some ten thousand rows at a time."""
+    names = ("bucket", "i", "j", "member", "root", "n", "side", "live")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def ready(last: bool):
+            nonlocal held, rows
+            table = pa.Table.from_batches(held)
+            t = {c: table[c].to_numpy() for c in names}
+            new = np.ones(len(table), bool)
+            new[1:] = (t["bucket"][1:] != t["bucket"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])
+            end = len(table) if last else int(np.flatnonzero(new)[-1])
+            held = table.slice(end).to_batches()
+            rows = len(table) - end
+            if not end:
+                return None
+            return _named(percent, most, np.cumsum(new[:end]), {c: v[:end] for c, v in t.items()}, table["sketch"].slice(0, end).to_pylist())
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= LOT and (out := ready(False)) is not None:
+                yield out
+        if rows:
+            yield ready(True)
 
     return run
 
 
 def _unpacked(batches):
+    """(bucket, member) of packed buckets; a hub is a member of each of its buckets, named in its first part."""
     for batch in batches:
         members, ids = [], []
         for hub, load in zip(batch.column("node").to_pylist(), batch.column("load"), strict=True):
-            counts, flat = x.unpack(load.as_py())
-            edges = np.cumsum(np.append(0, counts.astype(np.int64)))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                whole = np.append(hub, flat[a:b])
-                members.append(whole)
-                # a bucket is named by its nodes, so owners that found the same one agree
-                name = mix(np.array([mix(whole.view(U)).sum()], U)).view(np.int64)[0]
-                ids.append(np.full(len(whole), name))
+            names, counts, flat = x.unpack(load.as_py())
+            members += [flat, np.full(len(names), hub, np.int64)]
+            ids += [np.repeat(names, counts).view(np.int64), names.view(np.int64)]
         cat = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
         yield pa.record_batch([pa.array(cat(ids)), pa.array(cat(members))], names=["bucket", "member"])
 
 
+def _open_blocks(members: DataFrame, roots: DataFrame, reps: DataFrame, live: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold several components, dealt to blocks (bucket, i, j) with their facts.
+
+    live: the nodes that may name partners; all where it is None. Buckets without any are left out.
+    """
+    rooted = members.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    if live is None:
+        rooted = rooted.withColumn("live", F.lit(True))
+    else:
+        rooted = rooted.join(live.withColumn("live", F.lit(True)), "member", "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    each = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.max("live").alias("live"))
+    whole = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"), F.max("live").alias("some")).where("roots > 1 and some")
+    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+    whole = whole.select("bucket", F.col("top.root").alias("_top"), chunks(F.col("m")).alias("across"), F.when(F.col("m") <= CHUNK, 1).otherwise(chunks(F.col("m") - F.col("top.k"))).alias("down"))
+    dealt = rooted.join(whole, "bucket").join(reps.select(F.col("node").alias("member"), "n", "sketch"), "member")
+    spot = lambda c: F.pmod(F.xxhash64("member"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    columns = F.transform(every("down"), lambda i: place(i, spot("across"), COLUMN))
+    rows = F.when(F.col("root") != F.col("_top"), F.transform(every("across"), lambda j: place(spot("down"), j, ROW))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    places = F.when(F.col("across") == 1, F.array(place(F.lit(0), F.lit(0), BOTH))).otherwise(F.concat(columns, rows))
+    blocks_ = dealt.withColumn("_place", F.explode(places)).select("bucket", "_place.*", "member", "root", "n", "live", "sketch")
+    return blocks_.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
 def near_duplicate_groups(documents: DataFrame, *, size: int = 5, percent: int = 75, owner_bytes: int = 32 << 20, most_broadcast: int = 16 << 20) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with), node."""
     owners = x.owners_for(x.text_bytes(documents), owner_bytes)
@@ -400,23 +540,27 @@ def near_duplicate_groups(documents: DataFrame, *, size: int = 5, percent: int =
     docs = found.where(F.col("kind") == DOC)
     reps = store.save(docs.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     hubs = found.where(F.col("kind") == HUB)
-    first = store.save(hubs.select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
+    first = store.save(hubs.where("others is not null").select(F.col("node").alias("a"), F.explode("others").alias("b")).distinct(), "pairs")
     linked = _verified(documents, reps, _plausible(first, reps, percent), size, percent, most_broadcast)
     roots = components(linked, "a", "b")
     failed = first.join(linked, ["a", "b"], "left_anti")
     # buckets whose hub has a failed pair may hold links between other nodes
     again = hubs.where("load is not null").join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    members = again.select("node", "load").mapInArrow(_unpacked, "bucket long, member long").distinct()
-    rooted = members.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
-    rooted = store.save(rooted, "members")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    facts = reps.select(F.col("node").alias("member"), "n", "sketch")
-    open_buckets = rooted.join(mixed, "bucket", "left_semi").join(facts, "member")
-    more = open_buckets.groupBy("bucket").applyInArrow(_cross_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = store.save(more, "pairs")
-    if more.count():
-        linked = linked.unionByName(_verified(documents, reps, more, size, percent, most_broadcast))
-        roots = components(linked, "a", "b")
+    members = store.save(again.select("node", "load").mapInArrow(_unpacked, "bucket long, member long").distinct(), "members")
+    tried, most, live = first, 8, None
+    while True:
+        named = store.save(_open_blocks(members, roots, reps, live).mapInArrow(_nearest(percent, most), "a long, b long, apart int, cut boolean"), "named")
+        pairs = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = store.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            found = _verified(documents, reps, more, size, percent, most_broadcast)
+            tried = tried.unionByName(more)
+            if not found.isEmpty():
+                roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "a", "b")
+        live = named.where("cut").select(F.col("a").alias("member")).distinct()
+        if live.isEmpty():
+            break
+        most *= 8
     rooted_reps = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted_reps.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     classes = rooted_reps.join(smallest, "root").select("node", "component_id")
