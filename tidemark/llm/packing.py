@@ -22,13 +22,13 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,52 +37,49 @@ from tidemark.llm import store
 SEPARATOR = b"\0\0\0\0"
 #: Chunks kept with their ids in each worker process; beyond it the memo starts anew.
 MEMO_LIMIT = 300_000
-#: A space that touches other white space, or white space on which regex dialects differ.
-_ODD_SPACE = re.compile(r" \s|\s |[\x1c-\x1f]")
+LOT_BYTES = 1 << 20
+#: A space that touches other white space, and one that doesn't; white space in its widest sense.
+_ODD_SPACE = re.compile(r" \s|\s ")
+_LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class _Memo(dict):
-    """Text chunk -> its ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        ids = array("I", self.encode(self.lead + chunk)).tobytes()
-        if len(chunk) <= 40:
-            self[chunk] = ids
-        return ids
-
-
 class TokenEncoder:
-    """Ids of whole texts under a public byte-level BPE vocabulary.
+    """Ids of whole texts under a public byte-level BPE vocabulary, as its tokenizer gives them.
 
-    The vocabulary's splitting pattern lets white space only begin a piece, so a single space between
-    two other characters always starts one. Texts are cut there and each chunk is encoded once per
-    worker; texts in which white space touches white space are encoded whole.
+    The vocabulary's splitting pattern lets white space only begin a piece, and its special tokens hold
+    none, so a single space between two other characters always starts a piece. Texts are cut there; a
+    worker encodes each chunk once, all new ones of a batch together, and keeps its ids as
+    little-endian unsigned 32-bit bytes.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self.whole = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.rest = _Memo(self.whole, ""), _Memo(self.whole, " ")
-
-    def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return array("I", self.whole(text)).tobytes()
-        chunks = text.split(" ")
-        head = self.first[chunks[0]]
-        tail = [] if len(chunks) == 1 else map(self.rest.__getitem__, chunks[1:])
-        return head + b"".join(tail)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, found, strict=True)}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            head, *tail = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+            split.append([head, *[f" {c}" for c in tail]])
+        if len(self.memo) >= MEMO_LIMIT:
+            self.memo.clear()
+        new = list(set().union(*split) - self.memo.keys())
+        known = self._learn(new)
+        self.memo |= known
+        out = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in split]
+        for c in known:
+            if len(c) > 40:
+                del self.memo[c]
+        return out
 
 
 _encoders: dict[str, TokenEncoder] = {}
@@ -93,7 +90,7 @@ def token_encoder(vocabulary: str) -> TokenEncoder:
     if vocabulary not in _encoders:
         import public_tokenizers
 
-        _encoders[vocabulary] = TokenEncoder(public_tokenizers.path(f"{vocabulary}.tiktoken"), public_tokenizers.PATTERN)
+        _encoders[vocabulary] = TokenEncoder(public_tokenizers.path(f"{vocabulary}.json"))
     return _encoders[vocabulary]
 
 
@@ -103,14 +100,24 @@ def piece_starts(n: int, size: int) -> list[int]:
     return [0, *range(first, n, size)]
 
 
+def _encoded(encode: TokenEncoder, column: pa.Array):
+    """Ids of a column's texts, nulls as empty ones, in lots of about a million bytes or one longer text."""
+    sizes = np.cumsum(pc.binary_length(column.fill_null("")).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + LOT_BYTES, "right")))
+        yield from encode([t or "" for t in column.slice(a, b - a).to_pylist()])
+        a = b
+
+
 def _tokenise(vocabulary: str, size: int):
     def run(batches):
         encode = token_encoder(vocabulary)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             repeats = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blob = encode(text.as_py() or "") + SEPARATOR
+            for doc_id, ids in zip(batch.column(0).to_pylist(), _encoded(encode, batch.column(1)), strict=True):
+                blob = ids + SEPARATOR
                 n = len(blob) // 4
                 starts = piece_starts(n, size)
                 repeats.append(len(starts))
