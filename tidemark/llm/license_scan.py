@@ -10,7 +10,8 @@ Three plain phrases are counted beside the rules, wherever their words stand con
 labels always stay.
 
 Scale: one narrow scan; nothing is shuffled and no row leaves its task. Work is linear in the text
-for the words and the keyword search, and in the number of detections for their suppression.
+for the words and the keyword search. Running sums and maxima over n detections are made in chunks
+(see ``_scanned``), about n * ``CHUNK`` steps, so a very long text full of notices costs in proportion.
 
 Defined results: null and empty texts have no words, no places and score 0; a null doc_id is kept;
 repeated rows are scanned each on their own; an empty table gives an empty result; further columns
@@ -19,6 +20,8 @@ are carried when named in ``carry``, and the result's own names win over clashin
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +94,99 @@ _FAMILIES: tuple[tuple[str, str, int, float, tuple[str, ...], tuple[str, ...]],
     ("non-commercial", "commercial", 1, 0.5, (), (r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", r"not for commercial use")),
     ("no-redistribution", " not be ", 1, 0.5, (), (r"(?:may|must) not be (?:copied|reproduced|redistributed)",)),
     ("no-redistribution", "redistribution is", 1, 0.5, (), (r"redistribution is (?:prohibited|not permitted)",)),
+    ("epl-{v}", "epl", 2, 0.8, ("1.0", "2.0"), (r"epl(?: v| version)? ?{v}",)),
+    ("cddl-{v}", "cddl", 2, 0.8, ("1.0", "1.1"), (r"cddl(?: v| version)? ?{v}",)),
+    ("eupl-{v}", "eupl", 2, 0.8, ("1.0", "1.1", "1.2"), (r"eupl(?: v| version)? ?{v}",)),
+    ("agpl-{v}", "agpl", 2, 0.85, ("1.0", "3.0"), (r"agpl(?: v| version)? ?{v}", r"agpl {v} (?:only|or later)")),
+    ("gfdl-{v}", "gfdl", 2, 0.8, ("1.1", "1.2", "1.3"), (r"gfdl(?: v| version)? ?{v}",)),
+    ("ofl-{v}", "ofl", 2, 0.8, ("1.0", "1.1"), (r"ofl(?: v| version)? ?{v}",)),
+    ("odc-by-{v}", "data commons attribution", 2, 0.9, ("1.0",), (rf"open data commons attribution {_LICEN}(?: odc by)?(?: version| v)? {{v}}",)),
+    ("pddl-{v}", "public domain dedication and", 2, 0.9, ("1.0",), (rf"public domain dedication and {_LICEN}(?: pddl)?(?: version| v)? {{v}}",)),
+    ("lppl-{v}", "latex project public", 2, 0.9, ("1.0", "1.1", "1.2", "1.3a", "1.3c"), (rf"latex project public {_LICEN}(?: version| v)? ?{{v}}", rf"conditions of the latex project public {_LICEN} either version {{v}}")),
+    ("cecill-{v}", "cecill", 2, 0.9, ("1.0", "1.1", "2.0", "2.1"), (r"cecill(?: version| v)? ?{v}",)),
+    ("cecill", "cecill", 1, 0.6, (), (rf"cecill(?: free software)? {_LICEN}",)),
+    ("cpl-{v}", "common public", 2, 0.9, ("1.0",), (rf"common public {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("ipl-{v}", "ibm public", 2, 0.9, ("1.0",), (rf"ibm public {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("apsl-{v}", "apple public source", 2, 0.9, ("1.0", "1.1", "1.2", "2.0"), (rf"apple public source {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("rpl-{v}", "reciprocal public", 2, 0.9, ("1.1", "1.5"), (rf"reciprocal public {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("spl-{v}", "sun public", 2, 0.9, ("1.0",), (rf"sun public {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("npl-{v}", "netscape public", 2, 0.9, ("1.0", "1.1"), (rf"netscape public {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("nasa-{v}", "nasa open source", 2, 0.9, ("1.3",), (r"nasa open source agreement(?: version| v)? ?{v}",)),
+    ("ecl-{v}", "educational community", 2, 0.9, ("1.0", "2.0"), (rf"educational community {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("zend-{v}", "zend", 2, 0.9, ("2.0",), (rf"zend (?:engine )?{_LICEN}(?: version| v)? ?{{v}}",)),
+    ("mulan-{v}", "mulan", 2, 0.9, ("1", "2"), (rf"mulan (?:psl|pubpl|permissive software {_LICEN})(?: version| v)? ?v?{{v}}",)),
+    ("cern-ohl-{v}", "cern open hardware", 2, 0.9, ("1.1", "1.2", "2"), (rf"cern open hardware {_LICEN}(?: version| v)? ?v?{{v}}", rf"cern open hardware {_LICEN} strongly reciprocal(?: version| v)? ?{{v}}")),
+    ("sspl-{v}", "server side public", 2, 0.9, ("1",), (rf"server side public {_LICEN}(?: sspl)?(?: version| v)? ?v?{{v}}",)),
+    ("sspl", "server side public", 1, 0.6, (), (rf"server side public {_LICEN}",)),
+    ("elastic-{v}", "elastic", 2, 0.9, ("2.0",), (rf"elastic {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("busl-{v}", "business source", 2, 0.9, ("1.0", "1.1"), (rf"business source {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("polyform-{v}", "polyform", 2, 0.9, ("1.0.0",), (rf"polyform (?:noncommercial|small business|shield|strict) {_LICEN} {{v}}",)),
+    ("commons-clause", "commons clause", 2, 0.8, (), (rf"commons clause {_LICEN} condition", r"commons clause")),
+    ("blueoak-{v}", "blue oak", 2, 0.9, ("1.0.0",), (rf"blue oak model {_LICEN}(?: version| v)? ?{{v}}",)),
+    ("upl-{v}", "universal permissive", 2, 0.9, ("1.0",), (rf"universal permissive {_LICEN}(?: upl)?(?: version| v)? ?{{v}}",)),
+    ("python-{v}", "python", 2, 0.8, ("2.0",), (rf"python (?:software foundation )?{_LICEN}(?: version| v)? ?{{v}}", rf"psf {_LICEN} agreement for python {{v}}")),
+    ("psf", "python software foundation", 1, 0.6, (), (rf"python software foundation {_LICEN}",)),
+    ("postgresql", "postgresql", 2, 0.8, (), (rf"postgresql {_LICEN}",)),
+    ("ncsa", "illinois", 2, 0.9, (), (rf"university of illinois (?:ncsa )?open source {_LICEN}",)),
+    ("w3c", "w3c", 2, 0.8, (), (rf"w3c software (?:notice and )?(?:and document )?{_LICEN}", r"w3c document notice")),
+    ("x11", "x11", 2, 0.8, (), (rf"x11 {_LICEN}", rf"mit x11 {_LICEN}")),
+    ("ms-pl", "microsoft public", 2, 0.9, (), (rf"microsoft public {_LICEN}(?: ms pl)?",)),
+    ("ms-rl", "microsoft reciprocal", 2, 0.9, (), (rf"microsoft reciprocal {_LICEN}(?: ms rl)?",)),
+    ("openssl", "openssl", 2, 0.8, (), (rf"openssl {_LICEN}", r"this product includes software developed by the openssl project")),
+    ("ssleay", "eric young", 3, 0.9, (), (r"this product includes cryptographic software written by eric young",)),
+    ("sleepycat", "sleepycat", 2, 0.8, (), (rf"sleepycat {_LICEN}", r"sleepycat software")),
+    ("qpl-1.0", "q public", 2, 0.9, (), (rf"q public {_LICEN}(?: version)?(?: 1 0)?",)),
+    ("ruby", "ruby", 1, 0.6, (), (rf"ruby {_LICEN}", rf"same terms as ruby(?: itself)?")),
+    ("perl", "perl", 2, 0.8, (), (r"under the same terms as perl(?: itself)?", rf"perl artistic {_LICEN}")),
+    ("vim", "vim", 1, 0.6, (), (rf"vim {_LICEN}",)),
+    ("curl", "curl", 1, 0.6, (), (rf"curl {_LICEN}",)),
+    ("libpng", "libpng", 1, 0.7, (), (rf"libpng {_LICEN}(?: version 2)?",)),
+    ("ijg", "independent jpeg", 2, 0.9, (), (r"based in part on the work of the independent jpeg group", rf"independent jpeg group {_LICEN}")),
+    ("freetype", "freetype", 2, 0.8, (), (rf"freetype (?:project )?{_LICEN}",)),
+    ("info-zip", "info zip", 2, 0.8, (), (rf"info zip {_LICEN}",)),
+    ("unicode", "unicode", 2, 0.8, (), (rf"unicode (?:inc )?{_LICEN} agreement", rf"unicode terms of use")),
+    ("icu", "icu", 1, 0.6, (), (rf"icu {_LICEN}",)),
+    ("json", "used for good", 3, 0.9, (), (r"software shall be used for good not evil",)),
+    ("beerware", "beer", 2, 0.9, (), (rf"beer ?ware {_LICEN}", r"you can buy me a beer in return")),
+    ("wtfpl", "what the fuck", 3, 1.0, (), (rf"do what the fuck you want to public {_LICEN}",)),
+    ("0bsd", "zero clause bsd", 2, 0.9, (), (rf"zero clause bsd(?: {_LICEN})?",)),
+    ("0bsd", "for any purpose with or without fee", 3, 0.9, (), (r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
+    ("hpnd", "appear in all copies", 3, 0.8, (), (r"provided that the above copyright notice appear in all copies",)),
+    ("mit-0", "mit no attribution", 2, 0.9, (), (r"mit no attribution",)),
+    ("mit", "shall be included in all copies", 3, 0.9, (), (r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",)),
+    ("mit", "deal in the software without restriction", 3, 0.9, (), (r"to deal in the software without restriction",)),
+    ("bsd", "redistributions of source code", 3, 0.9, (), (r"redistributions of source code must retain the above copyright notice",)),
+    ("bsd", "redistributions in binary form", 3, 0.9, (), (r"redistributions in binary form must reproduce the above copyright notice",)),
+    ("bsd-3-clause", "endorse or promote", 3, 0.9, (), (r"may be used to endorse or promote products derived from this software",)),
+    ("bsd-4-clause", "advertising materials", 3, 0.9, (), (r"all advertising materials mentioning features or use of this software",)),
+    ("gpl", "free software foundation", 2, 0.7, (), (r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation",)),
+    ("gpl", "received a copy of the gnu", 3, 0.8, (), (r"you should have received a copy of the gnu general public licen[cs]e",)),
+    ("lgpl", "received a copy of the gnu", 3, 0.8, (), (r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e",)),
+    ("agpl", "received a copy of the gnu", 3, 0.8, (), (r"you should have received a copy of the gnu affero general public licen[cs]e",)),
+    ("apache-2.0", "compliance with the license", 3, 0.9, (), (r"you may not use this file except in compliance with the license",)),
+    ("apache-2.0", "apache org licenses", 3, 1.0, (), (r"www apache org licenses license 2 0",)),
+    ("warranty-disclaimer", "warrant", 1, 0.4, (), (r"without (?:any )?warranty(?: of any kind)?", r"without warranties or conditions of any kind", r"no warranty(?: expressed or implied)?")),
+    ("warranty-disclaimer", "as is", 1, 0.4, (), (r"provided as is(?: without (?:express or implied )?warranty)?", r"(?:is|are) provided (?:by [a-z ]{1,60} )?as is")),
+    ("liability-disclaimer", "liable", 1, 0.4, (), (r"in no event shall (?:the )?(?:authors?|copyright (?:holders?|owners?)|[a-z]+) (?:or [a-z ]{1,40} )?be liable",)),
+    ("free-of-charge", "free of charge", 1, 0.4, (), (r"(?:available|distributed|provided) free of charge",)),
+    ("attribution-required", "attribution", 1, 0.4, (), (r"attribution (?:is )?required", r"with (?:proper|appropriate) attribution")),
+    ("share-alike", "share alike", 1, 0.4, (), (r"share alike(?: [0-9] [0-9])?",)),
+    ("no-derivatives", "derivative", 1, 0.4, (), (r"no derivative(?:s| works)(?: allowed| permitted)?",)),
+    ("personal-use", "personal use", 1, 0.4, (), (r"for (?:private |your )?personal use only",)),
+    ("research-only", "research", 1, 0.4, (), (r"for (?:academic |non commercial )?research (?:use|purposes) only",)),
+    ("educational-use", "educational", 1, 0.4, (), (r"for educational (?:use|purposes)(?: only)?",)),
+    ("evaluation-only", "evaluation", 1, 0.4, (), (r"for evaluation (?:use|purposes)(?: only)?",)),
+    ("internal-use", "internal use", 1, 0.4, (), (r"(?:for )?internal use only",)),
+    ("trade-secret", "trade secret", 1, 0.5, (), (r"(?:contains|constitutes?) (?:confidential information and )?trade secrets?",)),
+    ("eula", "end user", 1, 0.5, (), (rf"end user {_LICEN} agreement",)),
+    ("permission-required", "written permission", 1, 0.5, (), (r"without (?:the )?(?:express |prior )*written permission",)),
+    ("permission-granted", "permission is granted", 1, 0.5, (), (r"permission is granted to (?:anyone|copy|make|use)",)),
+    ("terms-of-use", "terms of", 1, 0.3, (), (r"subject to (?:our |the )?terms of (?:use|service)",)),
+    ("public-domain", "no copyright", 1, 0.5, (), (r"no copyright(?: is claimed)?(?: reserved)?",)),
+    ("public-domain", "dedicated", 2, 0.7, (), (r"dedicated to the public domain",)),
+    ("reserved", "reservados", 1, 0.5, (), (r"todos los derechos reservados",)),
+    ("reserved", "droits", 1, 0.5, (), ("tous droits réservés",)),
+    ("reserved", "alle rechte", 1, 0.5, (), (r"alle rechte vorbehalten",)),
     ("copyright", "copyright", 1, 0.4, (), (r"copyright (?:c )?(?:19|20)[0-9]{2}", r"copyright (?:c )?[a-z0-9]+(?: [a-z0-9]+){0,3} all rights reserved")),
     ("reserved", "rights reserved", 1, 0.5, (), (r"all rights reserved", r"some rights reserved")),
 )
@@ -110,7 +206,10 @@ def rules() -> list[tuple[int, str, str, int, float, str]]:
 
 
 def _words_string(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    """Words with one space between; A-Z are lower-cased and no other letter, which plain lower-casing does only for ASCII."""
+    whole = F.coalesce(text, F.lit(""))
+    lower = F.when(whole.rlike(r"[^\x00-\x7F]"), F.translate(whole, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(whole))
+    return F.btrim(F.regexp_replace(lower, NOT_WORD, " "))
 
 
 def _spaces(s: Column) -> Column:
@@ -126,9 +225,32 @@ def _phrase_places(padded: Column, phrase: str, n_words: Column) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), found).otherwise(none)
 
 
+#: Items that one appending fold takes at most.
+CHUNK = 128
 _DETECTION = "array<struct<start:int,stop:int,rank:int,label:string,confidence:double>>"
 
 
+def _scanned(items: Column, start: Column, merge, joined, emit, kind: str) -> Column:
+    """emit(state before x, x) of every item in order, where merge(state, x) moves the state on.
+
+    An appending fold copies its array at every step. So items go in chunks: a chunk's own state is folded
+    from ``start``, states are joined chunk by chunk, and each chunk is scanned from the state it begins with.
+    """
+    whole = lambda acc: acc["out"]
+    chunks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    part = lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK))
+    totals = F.transform(chunks, lambda c: F.aggregate(part(c), start, merge))
+    none = F.slice(F.array(start), 1, 0)
+    begins = F.aggregate(totals, F.struct(start.alias("at"), none.alias("out")), lambda acc, t: F.struct(joined(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), whole)
+    empty = F.array().cast(f"array<{kind}>")
+
+    def scan(begin: Column, c: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out"))
+        return F.aggregate(part(c), F.struct(begin.alias("at"), empty.alias("out")), step, whole)
+
+    return F.flatten(F.transform(begins, scan))
+
+
 def _found_by(words: Column, rule: Column) -> Column:
     """All matches of one rule with their character spans, told from the lengths between and of matches.
 
@@ -136,33 +258,26 @@ def _found_by(words: Column, rule: Column) -> Column:
     """
     matches = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
     between = F.split(words, rule["pattern"])
-    lengths = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_DETECTION).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        end = begin + F.coalesce(x["m"], F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("stop"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+    moved = lambda at, x: at + x["b"] + x["m"]
+    begins = _scanned(lengths, F.lit(0), moved, lambda a, b: a + b, lambda at, x: at + x["b"], "int")
+    one = lambda begin, m: F.struct(begin.alias("start"), (begin + F.length(m)).alias("stop"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
+    return F.zip_with(begins, matches, one)
 
 
 def _uncontained(detections: Column) -> Column:
     """Detections (by start, longest first, best rule first) that none before them, of the same or a higher priority, contains.
 
-    The fold keeps how far the detections seen so far reach, for each priority 3 to 1.
+    The state keeps how far the detections seen so far reach, for each priority 3 to 1 and those above it.
     """
-    reach = [f"reach{p}" for p in (3, 2, 1)]
-    start = F.struct(*[F.lit(-1).alias(r) for r in reach], F.array().cast(_DETECTION).alias("out"))
-
-    def step(acc: Column, d: Column) -> Column:
-        priority = 3 - F.floor(d["rank"] / 10000).cast("int")
-        by = F.when(priority == 3, acc["reach3"]).when(priority == 2, F.greatest(acc["reach3"], acc["reach2"])).otherwise(F.greatest(acc["reach3"], acc["reach2"], acc["reach1"]))
-        grown = [F.when(priority == p, F.greatest(acc[r], d["stop"])).otherwise(acc[r]).alias(r) for p, r in zip((3, 2, 1), reach, strict=True)]
-        return F.struct(*grown, F.when(by >= d["stop"], acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
-
-    return F.aggregate(detections, start, step, lambda acc: acc["out"])
+    priority = lambda d: 3 - F.floor(d["rank"] / 10000).cast("int")
+    levels = (3, 2, 1)
+    start = F.struct(*[F.lit(-1).alias(f"p{p}") for p in levels])
+    merge = lambda at, d: F.struct(*[F.when(priority(d) >= p, F.greatest(at[f"p{p}"], d["stop"])).otherwise(at[f"p{p}"]).alias(f"p{p}") for p in levels])
+    joined = lambda a, b: F.struct(*[F.greatest(a[f"p{p}"], b[f"p{p}"]).alias(f"p{p}") for p in levels])
+    reach = lambda at, d: F.when(priority(d) == 3, at["p3"]).when(priority(d) == 2, at["p2"]).otherwise(at["p1"])
+    stays = _scanned(detections, start, merge, joined, lambda at, d: reach(at, d) < d["stop"], "boolean")
+    return F.filter(F.zip_with(detections, stays, lambda d, s: F.when(s, d)), lambda d: d.isNotNull())
 
 
 def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), gated: bool = True) -> DataFrame:
