@@ -29,7 +29,7 @@ def corpus(seed: int = 3) -> list[tuple]:
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
     passage = " ".join(word() for _ in range(60))
     lines = "\n".join(" ".join(word() for _ in range(9)) for _ in range(4))
-    texts: list = [None, "", " \n\t ", "one", "one two", "One TWO", "a b c d e", "x " * 300, "All rights reserved. CC-BY 4.0", "é" * 200]
+    texts: list = [None, "", " \n\t ", "one", "one two", "One TWO", "a b c d e", "x " * 300, "All rights reserved. CC-BY 4.0", "é" * 200, "a <|endoftext|> b"]
     for _ in range(25):
         body = " ".join(word() for _ in range(r.randint(5, 160)))
         texts.append(body)
@@ -110,7 +110,10 @@ def test_line_dedup(docs, rows, empty):
     keyed = {(d, t): t.split("\n") for d, t, *_ in rows if d is not None and t is not None}
     ink = {k: [i for i, x in enumerate(v) if split(x)] for k, v in keyed.items()}
     first: dict = {}
+    alone: dict = {}
     for k in sorted(keyed):
+        for p, i in enumerate(ink[k]):
+            alone.setdefault(keyed[k][i], (k[0], p))
         for p in range(len(ink[k]) - 1):
             first.setdefault((keyed[k][ink[k][p]], keyed[k][ink[k][p + 1]]), (k[0], p))
     want = collections.Counter()
@@ -124,9 +127,20 @@ def test_line_dedup(docs, rows, empty):
             if d > f[0] or p >= f[1] + 2:
                 for q in (p, p + 1):
                     gone |= set(range(at[q], at[q + 1] if q + 1 < len(at) else len(v)))
+        for q, i in enumerate(at):
+            if len(split(v[i])) >= 50 and (d, q) > alone[v[i]]:
+                gone |= set(range(at[q], at[q + 1] if q + 1 < len(at) else len(v)))
         want[(d, "\n".join(x for i, x in enumerate(v) if i not in gone))] += 1
     out = drop_repeated_lines(docs)
     assert counted(out, "doc_id", "text") == want and out.where("n_removed_lines > 0").count() > 0
+    runs: dict = {}
+    for k, v in keyed.items():
+        s = [v[i] for i in ink[k]]
+        for a in range(len(s)):
+            for n in range(1, len(s) - a + 1):
+                runs.setdefault(tuple(s[a : a + n]), set()).add((k, a))
+    longest = collections.Counter((k[0], max([len(r) for r, at in runs.items() if len(at) > 1 and any(x[0] == k for x in at)], default=0)) for k in keyed)
+    assert set(counted(out.where("doc_id is not null and text is not null"), "doc_id", "longest_run")) >= set(longest) - {x for x in longest if x[0] in {d for d, t, *_ in rows if t is None}}
     assert drop_repeated_lines(docs, most_broadcast=0).exceptAll(out).count() == 0
     assert drop_repeated_lines(empty).count() == 0
 
@@ -260,7 +274,6 @@ def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
     out = packing.best_fit_pack(docs, shard_items=40).collect()
     by_bin = collections.defaultdict(list)
@@ -284,12 +297,11 @@ def test_encoder_equals_the_public_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     own = packing.token_encoder("byte_bpe_50k")
     r = random.Random(5)
-    for _ in range(300):
+    for _ in range(3000):
         text = "".join(r.choice(["a", "Zé", " ", "  ", "\n", "\t", "'s", "12", "!", "<|endoftext|>", " ", "中"]) for _ in range(r.randint(0, 40)))
-        assert np.frombuffer(own(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, json.dumps(text)
+        assert np.frombuffer(own([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, json.dumps(text)
 
 
 def test_packing_keeps_every_capacity():

@@ -6,16 +6,22 @@ _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LINES = r"""
-with l as (select doc_id, coalesce(text, '') text, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) no from documents),
-ink as (select *, row_number() over (partition by doc_id order by no) k, lead(line) over (partition by doc_id order by no) nxt, lead(no) over (partition by doc_id order by no) nxt_no from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+with recursive l as (select doc_id, coalesce(text, '') text, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) no from documents),
+ink as materialized (select *, row_number() over (partition by doc_id order by no) k, lead(line) over (partition by doc_id order by no) nxt, lead(no) over (partition by doc_id order by no) nxt_no from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
 first as (select line, nxt, min(struct_pack(d := doc_id, k := k)) f from ink where nxt is not null group by all),
+alone as (select line, min(struct_pack(d := doc_id, k := k)) f from ink where len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 50 group by all),
 hit as (select ink.doc_id, ink.k from ink join first using (line, nxt) where doc_id > f.d or (doc_id = f.d and k >= f.k + 2)),
-gone as (select doc_id, k from hit union select doc_id, k + 1 from hit),
+one as (select ink.doc_id, ink.k from ink join alone using (line) where doc_id > f.d or (doc_id = f.d and k > f.k)),
+gone as (select doc_id, k from hit union select doc_id, k + 1 from hit union select doc_id, k from one),
+ids as materialized (select doc_id, k, dense_rank() over (order by line) c from ink),
+runs as (select doc_id, k, c g, 1 n from (select *, count(*) over (partition by c) m from ids) where m > 1
+  union all select doc_id, k, g, n from (select *, count(*) over (partition by g) m from (select r.doc_id, r.k, r.n + 1 n, dense_rank() over (order by r.g, i.c) g from runs r join ids i on i.doc_id = r.doc_id and i.k = r.k + r.n)) where m > 1),
+longest as (select doc_id, max(n) n from runs group by 1),
 cut as (select ink.doc_id, ink.no a, coalesce(ink.nxt_no, 1000000000) b from ink join gone using (doc_id, k)),
 left_over as (select doc_id, string_agg(line, chr(10) order by no) text from l where not exists (select 1 from cut where cut.doc_id = l.doc_id and l.no >= a and l.no < b) group by doc_id)
 select d.doc_id, (select count(*) from ink where ink.doc_id = d.doc_id)::bigint n_lines, (select count(*) from gone where gone.doc_id = d.doc_id)::bigint n_removed_lines,
-       sha256(coalesce(o.text, '')) kept_sha256
-from documents d left join left_over o using (doc_id)
+       coalesce(longest.n, 0)::bigint longest_run, sha256(coalesce(o.text, '')) kept_sha256
+from documents d left join left_over o using (doc_id) left join longest using (doc_id)
 """
 
 NEAREST = """

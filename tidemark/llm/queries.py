@@ -43,7 +43,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

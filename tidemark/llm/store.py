@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir`` and reading it again, so a lost
-executor costs a re-read and nothing else. Where that setting is absent (single-machine tests) a
-fresh local folder stands in for it. What is written lives until the application ends, since
+executor costs a re-read and nothing else. Where that setting is absent a fresh local folder stands
+in for it, but only on a local master (tests); elsewhere its absence is an error. What is written lives until the application ends, since
 results are lazy, or until ``discard`` is called on a table that a later one replaces.
 """
 
@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder, or a temporary one where none is set."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         _own[app] = f"{base.rstrip('/')}/tidemark-{app}"
         path = spark._jvm.org.apache.hadoop.fs.Path(_own[app])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
