@@ -10,13 +10,13 @@ SQL = registry.oracle_sql()
 
 @pytest.fixture(scope="module")
 def con():
-    return duck()
+    return duck("sf0.001")
 
 
-def test_every_query_has_an_oracle():
-    assert set(SQL) == set(registry.queries())
+def test_every_query_but_a_fit_has_an_oracle():
+    assert set(registry.queries()) - set(SQL) == {"ridge_weights"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_rows_match(spark, con, name):
-    assert compare(registry.queries()[name](spark, f"{DATA}/sf0.01"), SQL[name], con) == ""
+    assert compare(registry.queries()[name](spark, f"{DATA}/sf0.001"), SQL[name], con) == ""

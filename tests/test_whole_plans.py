@@ -9,17 +9,17 @@ SF = f"{DATA}/sf0.001"
 
 def test_every_customer_has_a_grid(spark):
     n = duck("sf0.001").sql("select count(*) from customer").fetchall()[0][0]
-    out = registry.queries()["sensitivity_grid_whole"](spark, SF)
+    out = registry.queries()["sensitivity_grid"](spark, SF)
     assert n > 50 and out.select("entity").distinct().count() == n and out.count() == 25 * n
 
 
 def test_pairs_of_all_parts_also_in_lots(spark):
     want = set(duck("sf0.001").sql("select distinct x.l_suppkey, y.l_suppkey from lineitem x join lineitem y using (l_partkey) where x.l_suppkey <> y.l_suppkey").fetchall())
     for hot in (1000, 3):
-        got = [tuple(r) for r in models.co_pairs_whole(spark, SF, hot).collect()]
+        got = [tuple(r) for r in models.co_pairs(spark, SF, hot).collect()]
         assert set(got) == want and len(got) == len(want)
 
 
 def test_every_quarter_has_deciles(spark):
     n = duck("sf0.001").sql("select count(distinct last_day(date_trunc('quarter', o_orderdate) + interval 2 month)) from orders").fetchall()[0][0]
-    assert registry.queries()["reversion_deciles_whole"](spark, SF).select("qtr").distinct().count() == n > 1
+    assert registry.queries()["reversion_deciles"](spark, SF).select("qtr").distinct().count() == n > 1

@@ -34,6 +34,32 @@ def weekly_returns(prices: DataFrame) -> DataFrame:
     return moved.where("_before is not null").select("symbol", "from_date", "to_date", (F.col("close") / F.col("_before") - 1).alias("ret"))
 
 
+def realised_volatility(prices: DataFrame, days: int = 365, least: int = 40) -> DataFrame:
+    """symbol, date, n, vol: at every week's last close the yearly spread of the weekly returns that lie wholly in the days before it.
+
+    Of the returns that end in the days only the first can begin before them; it is taken out of the frame's sums.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.unix_date("to_date")).rangeBetween(-days, 0)
+    framed = weekly_returns(prices).withColumns({"_n": F.count("ret").over(w), "_s": F.sum("ret").over(w), "_q": F.sum(F.col("ret") * F.col("ret")).over(w), "_f": F.first(F.struct("from_date", "ret")).over(w)})
+    early = F.col("_f.from_date") < F.date_sub("to_date", days)
+    less = lambda c, x: F.col(c) - F.when(early, x).otherwise(0)
+    sums = framed.select("symbol", F.col("to_date").alias("date"), less("_n", F.lit(1)).cast("long").alias("n"), less("_s", F.col("_f.ret")).alias("_s"), less("_q", F.col("_f.ret") * F.col("_f.ret")).alias("_q"))
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n")) / (F.col("n") - 1)
+    return sums.select("symbol", "date", "n", F.when(F.col("n") >= least, F.sqrt(F.greatest(var, F.lit(0.0)) * 52)).alias("vol"))
+
+
+def price_return(prices: DataFrame, months: int, slack_days: int = 15) -> DataFrame:
+    """prices with the return against the last close so many months (of 365.25 / 12 days) before, if one is within the slack."""
+    due = prices.select("symbol", "date", F.col("close").alias("now")).withColumn("_due", F.date_sub("date", round(365.25 * months / 12)))
+    met = asof(due, prices, "symbol", "_due", "date", "close", tolerance_days=slack_days, out="then")
+    return met.select("symbol", "date", "now", F.when(F.col("then") > 0, F.col("now") / F.col("then") - 1).alias("ret"))
+
+
+def range_position(low: Column, high: Column, last: Column) -> Column:
+    """Where the last close stands between a range's ends; null for a range of nothing."""
+    return F.when(high > low, (last - low) / (high - low))
+
+
 def trailing(prices: DataFrame, days: int, **aggregates: Column) -> DataFrame:
     """prices with aggregates over the trailing days up to and with each row's date."""
     w = Window.partitionBy("symbol").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
@@ -53,17 +79,17 @@ def forward_returns(scores: DataFrame, prices: DataFrame, horizon_days: int) ->
 
 
 def newey_west(series: DataFrame, value: str, order: str, lag: int) -> DataFrame:
-    """n, mean, naive and Bartlett-weighted standard errors of a mean of overlapping observations."""
-    stats = series.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.array_sort(F.collect_list(F.struct(order, value))).alias("_x"))
-    dev = F.transform("_x", lambda x: x[value] - F.col("mean"))
-    stats = stats.withColumn("_dev", dev)
-
-    def gamma(j: Column) -> Column:
-        pairs = F.zip_with(F.slice("_dev", j + 1, F.greatest(F.col("n").cast("int") - j, F.lit(1))), F.slice("_dev", F.lit(1), F.greatest(F.col("n").cast("int") - j, F.lit(1))), lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p) / F.col("n")
-
-    total = gamma(F.lit(0))
+    """n, mean, naive and Bartlett-weighted standard errors of a mean of overlapping observations, one a date."""
+    x = series.where(F.col(value).isNotNull() & ~F.isnan(value)).select(order, F.col(value).cast("double").alias("_x"))
+    stats = x.agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
+    dev = x.crossJoin(F.broadcast(stats)).withColumn("_d", F.col("_x") - F.col("mean"))
+    w = Window.orderBy(order)
+    lagged = dev.select("_d", *[F.lag("_d", j).over(w).alias(f"_l{j}") for j in range(1, lag + 1)])
+    sums = lagged.agg(F.sum(F.col("_d") * F.col("_d")).alias("_g0"), *[F.sum(F.col("_d") * F.col(f"_l{j}")).alias(f"_g{j}") for j in range(1, lag + 1)])
+    both = stats.crossJoin(F.broadcast(sums))
+    gamma = lambda j: F.coalesce(F.col(f"_g{j}"), F.lit(0.0)) / F.col("n")
+    total = gamma(0)
     for j in range(1, lag + 1):
-        total = total + 2.0 * (1.0 - j / (lag + 1)) * gamma(F.lit(j))
+        total = total + 2.0 * (1.0 - j / (lag + 1)) * gamma(j)
     ok = F.col("n") > lag
-    return stats.select("n", "mean", F.when(ok, F.sqrt(gamma(F.lit(0)) / F.col("n"))).alias("se_naive"), F.when(ok, F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("n"))).alias("se"), F.when(~ok, "lag is not below n").alias("reason"))
+    return both.select("n", "mean", F.when(ok, F.sqrt(gamma(0) / F.col("n"))).alias("se_naive"), F.when(ok, F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("n"))).alias("se"), F.when(~ok, "lag is not below n").alias("reason"))

@@ -62,7 +62,8 @@ def named(spark, d):
 
 def popularity(spark, d):
     n = named(spark, d).groupBy("peer").agg(F.countDistinct("grp").alias("groups"))
-    return n.orderBy(F.col("groups").desc(), "peer").limit(25)
+    place = F.row_number().over(Window.orderBy(F.col("groups").desc(), "peer"))
+    return n.withColumn("place", place)
 
 
 def most_named(spark, d):
@@ -70,18 +71,7 @@ def most_named(spark, d):
     return named(spark, d).groupBy("peer").agg(F.count(F.lit(1)).alias("n")).where("n >= 500").join(out, "peer", "left_anti")
 
 
-def co_pairs(spark, d):
-    """Symmetric pairs of suppliers that ship a part together, for parts of one size; groups are parts, of bounded size."""
-    sized = load(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("grp"))
-    g = named(spark, d).join(sized, "grp", "left_semi")
-    pairs = g.alias("x").join(g.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.peer") < F.col("y.peer"))).select(F.col("x.peer").alias("a"), F.col("y.peer").alias("b")).distinct()
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-CO_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem join part on p_partkey=l_partkey where p_size=1) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
-
-
-def co_pairs_whole(spark, d, hot=1000):
+def co_pairs(spark, d, hot=1000):
     """Symmetric pairs of suppliers that ship any part together; a part's peers meet in lots of about ``hot``."""
     g = named(spark, d)
     lots = g.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("lots")).where("lots > 1")
@@ -92,7 +82,7 @@ def co_pairs_whole(spark, d, hot=1000):
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-CO_WHOLE_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
+CO_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
 
 
 def census(spark, d):
@@ -152,15 +142,10 @@ def grid_of(companies):
 
 
 def grid(spark, d):
-    return grid_of(company(spark, d).where("entity <= 50"))
-
-
-def grid_whole(spark, d):
     return grid_of(company(spark, d))
 
 
-GRID_SQL = f"with {COMPANY} select entity, r.rate::double rate, g.g::double g, round(rev*margin*(1+g.g::double)/(r.rate::double-g.g::double)+1e-7,4) as value from c, (values (0.08),(0.09),(0.1),(0.11),(0.12)) r(rate), (values (0.01),(0.015),(0.02),(0.025),(0.03)) g(g) where entity<=50"
-GRID_WHOLE_SQL = f"with {COMPANY} select entity, r.rate::double rate, g.g::double g, round(rev*margin*(1+g.g::double)/(r.rate::double-g.g::double)+1e-7,4) as value from c, (values (0.08),(0.09),(0.1),(0.11),(0.12)) r(rate), (values (0.01),(0.015),(0.02),(0.025),(0.03)) g(g)"
+GRID_SQL = f"with {COMPANY} select entity, r.rate::double rate, g.g::double g, round(rev*margin*(1+g.g::double)/(r.rate::double-g.g::double)+1e-7,4) as value from c, (values (0.08),(0.09),(0.1),(0.11),(0.12)) r(rate), (values (0.01),(0.015),(0.02),(0.025),(0.03)) g(g)"
 
 
 def implied_rate(spark, d):
@@ -171,8 +156,11 @@ def implied_rate(spark, d):
 
 
 def treasury(spark, d):
-    li = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.count(F.lit(1)).cast("double").alias("basic"), F.collect_list(F.struct(F.col("l_quantity").alias("count"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("strike"))).alias("awards"))
-    return li.select("entity", F.round(v.treasury_shares(F.col("basic"), F.lit(1200.0), F.col("awards")), 3).alias("shares"))
+    """Net shares of awards are a sum over awards, so they are summed up and never gathered in a row."""
+    strike = F.col("l_extendedprice") / F.col("l_quantity")
+    net = v.treasury_shares(F.lit(0.0), F.lit(1200.0), F.array(F.struct(F.col("l_quantity").alias("count"), strike.alias("strike"))))
+    li = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), net.alias("net"))
+    return li.groupBy("entity").agg(F.round(F.count(F.lit(1)) + F.sum("net"), 3).alias("shares"))
 
 
 TREASURY_SQL = "select l_suppkey entity, round(count(*) + sum(case when 1200.0>l_extendedprice/l_quantity then l_quantity*(1-l_extendedprice/l_quantity/1200.0) else 0 end),3) shares from lineitem group by 1"
@@ -234,16 +222,14 @@ QUERIES = {
     "ndcg": (ndcg, NDCG_SQL),
     "precision_recall_at_k": (precision_recall, PR_SQL),
     "base_rate_by_year": (base_rate, "select year(o_orderdate)::int as year, count(*)::bigint n, sum((o_orderstatus='F')::int)::bigint positives, round(avg((o_orderstatus='F')::int::double),6) rate from orders group by 1"),
-    "popularity": (popularity, "select l_suppkey peer, count(distinct l_partkey)::bigint \"groups\" from lineitem group by 1 order by 2 desc, 1 limit 25"),
+    "popularity": (popularity, "select l_suppkey peer, count(distinct l_partkey)::bigint \"groups\", row_number() over (order by count(distinct l_partkey) desc, l_suppkey)::int place from lineitem group by 1"),
     "most_named": (most_named, "select l_suppkey peer, count(distinct l_partkey)::bigint n from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal<0) group by 1 having n>=500"),
     "co_pairs": (co_pairs, CO_SQL),
-    "co_pairs_whole": (co_pairs_whole, CO_WHOLE_SQL),
     "membership_census": (census, CENSUS_SQL),
     "gap_horizon_labels": (labels, LABEL_SQL),
     "beta_regression": (beta, BETA_SQL),
     "dcf_projection": (dcf, DCF_SQL),
     "sensitivity_grid": (grid, GRID_SQL),
-    "sensitivity_grid_whole": (grid_whole, GRID_WHOLE_SQL),
     "bisection_rate": (implied_rate, "select c_custkey entity, round(0.02+1.02/12,6) rate from customer"),
     "treasury_stock": (treasury, TREASURY_SQL),
     "rating_step": (rating, RATING_SQL),

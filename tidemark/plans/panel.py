@@ -80,12 +80,11 @@ RANGE_SQL = f"with {P} select symbol, date, close, min(close) over w low, max(cl
 
 
 def realised_vol(spark, d):
-    w = series.weekly_returns(prices(spark, d)).select("symbol", F.col("to_date").alias("date"), "ret")
-    out = series.trailing(w, 365, n=F.count("ret"), sd=F.stddev_samp("ret"))
-    return out.select("symbol", "date", "n", F.when(F.col("n") >= 40, F.round(F.col("sd") * F.sqrt(F.lit(52.0)), 6)).alias("vol"))
+    return series.realised_volatility(prices(spark, d)).select("symbol", "date", "n", F.round("vol", 6).alias("vol"))
 
 
-VOL_SQL = WEEKLY_SQL.replace("round(close/b-1,6) ret", "close/b-1 ret").replace("with p as", "with z as (with p as", 1) + ") select symbol, to_date date, count(ret) over w n, case when count(ret) over w>=40 then round(stddev_samp(ret) over w * sqrt(52.0),6) end vol from z window w as (partition by symbol order by to_date range between interval 365 days preceding and current row)"
+WEEKS = WEEKLY_SQL.replace("round(close/b-1,6) ret", "close/b-1 ret").replace("with p as", "with z as (with p as", 1) + ")"
+VOL_SQL = WEEKS + " select x.symbol, x.to_date date, count(y.ret)::bigint n, case when count(y.ret)>=40 then round(stddev_samp(y.ret)*sqrt(52.0),6) end vol from z x left join z y on y.symbol=x.symbol and y.to_date<=x.to_date and y.from_date>=x.to_date-365 group by 1, 2"
 
 
 def asof_close(cap=None):
@@ -120,12 +119,16 @@ NEWEY_SQL = f"{IC}, x as (select ic, row_number() over (order by as_of) i, ic-av
 
 
 def bucket_table(spark, d):
-    b = cs.buckets(panel(spark, d).where("ret is not null"), "score", ["as_of"], 5, "symbol")
+    """Means over dates of each bucket's mean return; dates with fewer than two names a bucket are left out."""
+    from pyspark.sql import Window
+
+    enough = F.count(F.lit(1)).over(Window.partitionBy("as_of")) >= 10
+    b = cs.buckets(panel(spark, d).where("ret is not null").withColumn("_e", enough).where("_e"), "score", ["as_of"], 5, "symbol")
     by_date = b.groupBy("as_of", "bucket").agg(F.avg("ret").alias("m"), F.count(F.lit(1)).alias("n"))
     return by_date.groupBy("bucket").agg(F.round(F.avg("m"), 6).alias("mean_ret"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("dates"))
 
 
-BUCKET_SQL = f"{PANEL}, b as (select *, ntile(5) over (partition by as_of order by score, symbol) bucket from t where ret is not null), m as (select as_of, bucket, avg(ret) m, count(*) n from b group by all) select bucket::int bucket, round(avg(m),6) mean_ret, sum(n)::bigint n, count(*)::bigint dates from m group by bucket"
+BUCKET_SQL = f"{PANEL}, b as (select * from (select *, ntile(5) over (partition by as_of order by score, symbol) bucket, count(*) over (partition by as_of) nm from t where ret is not null) where nm>=10), m as (select as_of, bucket, avg(ret) m, count(*) n from b group by all) select bucket::int bucket, round(avg(m),6) mean_ret, sum(n)::bigint n, count(*)::bigint dates from m group by bucket"
 
 
 def hit_rate(spark, d):
@@ -208,17 +211,28 @@ def quarter_deciles(q):
 
 
 def deciles(spark, d):
-    return quarter_deciles(quarterly(spark, d).where(F.col("qtr") == F.lit("1997-12-31").cast("date"))).drop("qtr")
+    return quarter_deciles(quarterly(spark, d))
 
 
-def deciles_whole(spark, d):
-    return quarter_deciles(quarterly(spark, d))
+DECILES_SQL = f"with {Q}, b as (select *, (row_number() over (partition by qtr order by total, entity)*10-1)//count(*) over (partition by qtr) bucket from c) select qtr, bucket::int bucket, count(*)::bigint n, round(avg(total),4) mean from b group by all"
+
+def returns_12m(spark, d):
+    return series.price_return(prices(spark, d), 12).select("symbol", "date", F.round("ret", 6).alias("ret"))
+
+
+RETURN_SQL = f"with {P}, q as (select symbol, date, close, (date-365)::date due from p) select q.symbol, q.date, case when p.close>0 and q.due-p.date<=15 then round(q.close/p.close-1,6) end ret from q asof left join p on q.symbol=p.symbol and q.due>=p.date"
+
+
+def position(spark, d):
+    r = series.trailing(prices(spark, d), 365, low=F.min("close"), high=F.max("close"))
+    return r.select("symbol", "date", F.round(series.range_position(F.col("low"), F.col("high"), F.col("close")), 6).alias("position"))
 
 
-DECILES_SQL = f"with {Q}, b as (select *, (row_number() over (order by total, entity)*10-1)//count(*) over () bucket from c where qtr=date '1997-12-31') select bucket::int bucket, count(*)::bigint n, round(avg(total),4) mean from b group by bucket"
-DECILES_WHOLE_SQL = f"with {Q}, b as (select *, (row_number() over (partition by qtr order by total, entity)*10-1)//count(*) over (partition by qtr) bucket from c) select qtr, bucket::int bucket, count(*)::bigint n, round(avg(total),4) mean from b group by all"
+POSITION_SQL = f"select symbol, date, case when high>low then round((close-low)/(high-low),6) end position from ({RANGE_SQL})"
 
 QUERIES = {
+    "price_return_12m": (returns_12m, RETURN_SQL),
+    "range_position": (position, POSITION_SQL),
     "fact_versions": (fact_choice(), fact_sql()),
     "fact_asof_choice": (fact_choice(AS_OF), fact_sql(f"where l_shipdate::date <= date '{AS_OF}'")),
     "ladder_first_usable": (ladder, LADDER_SQL),
@@ -243,5 +257,4 @@ QUERIES = {
     "overall_and_sector": (overall_and_sector, OVERALL_SQL),
     "rerating_variance": (rerating, RERATING_SQL),
     "reversion_deciles": (deciles, DECILES_SQL),
-    "reversion_deciles_whole": (deciles_whole, DECILES_WHOLE_SQL),
 }

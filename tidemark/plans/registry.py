@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("panel", "models", "periods", "signals", "labels")
+MODULES: tuple[str, ...] = ("panel", "models", "periods", "signals", "labels", "valuation", "deals", "facts", "text", "evaluation")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
