@@ -21,14 +21,14 @@ def doubles(sql: str) -> str:
 def company(spark, d):
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("e"), F.abs("c_acctbal").alias("bal"))
     e = F.col("e")
-    out = c.withColumns({"rev": F.col("bal") + 100.0 + F.sqrt(e), "g1": (e % 20) / 100.0, "gn": F.lit(0.03), "m1": F.when(e % 9 == 0, F.lit(-0.1)).otherwise(0.05 + (e % 7) / 50.0), "mn": F.lit(0.2), "tax": F.lit(0.25), "rate": 0.08 + (e % 5) / 100.0, "tg": F.lit(0.025)})
+    out = c.withColumns({"rev": F.col("bal") + 100.0 + F.sqrt(e + 0.5), "g1": (e % 20) / 100.0, "gn": F.lit(0.03), "m1": F.when(e % 9 == 0, F.lit(-0.1)).otherwise(0.05 + (e % 7) / 50.0), "mn": F.lit(0.2), "tax": F.lit(0.25), "rate": 0.08 + (e % 5) / 100.0, "tg": F.lit(0.025)})
     out = out.withColumns({"price": (10 + e % 50).cast("double"), "shares": (50 + e % 100).cast("double"), "debt": F.col("rev") * ((e % 4) / 4.0), "conv": F.when(e % 6 == 0, F.col("rev") * 0.2).otherwise(0.0), "conv_price": F.when(e % 12 != 0, F.lit(30.0)), "fin_lease": F.col("rev") * 0.02, "op_lease": F.col("rev") * 0.05})
     out = out.withColumns({"pref": F.when(e % 10 == 0, 25.0).otherwise(0.0), "nci": F.when(e % 8 == 0, 15.0).otherwise(0.0), "cash": F.col("rev") * 0.3, "sti": F.col("rev") * 0.1, "sbc": 0.03 + (e % 3) / 100.0, "nol": F.when(e % 9 == 0, F.col("rev") * 0.5).otherwise(0.0), "beta": 0.7 + (e % 13) / 10.0})
     return out.withColumn("ebitda", F.col("rev") * (F.col("m1") + 0.04))
 
 
 COMPANY = doubles(
-    "c0 as (select c_custkey e, abs(c_acctbal) bal from customer), c1 as (select *, bal+100.0+sqrt(e) rev, (e%20)/100.0 g1, 0.03 gn, case when e%9=0 then -0.1 else 0.05+(e%7)/50.0 end m1, 0.2 mn, 0.25 tax, 0.08+(e%5)/100.0 rate, 0.025 tg from c0),"
+    "c0 as (select c_custkey e, abs(c_acctbal) bal from customer), c1 as (select *, bal+100.0+sqrt(e+0.5) rev, (e%20)/100.0 g1, 0.03 gn, case when e%9=0 then -0.1 else 0.05+(e%7)/50.0 end m1, 0.2 mn, 0.25 tax, 0.08+(e%5)/100.0 rate, 0.025 tg from c0),"
     " c2 as (select *, (10+e%50)::double price, (50+e%100)::double shares, rev*((e%4)/4.0) debt, case when e%6=0 then rev*0.2 else 0.0 end conv, case when e%12<>0 then 30.0 end conv_price, rev*0.02 fin_lease, rev*0.05 op_lease from c1),"
     " c as (select *, case when e%10=0 then 25.0 else 0.0 end pref, case when e%8=0 then 15.0 else 0.0 end nci, rev*0.3 cash, rev*0.1 sti, 0.03+(e%3)/100.0 sbc, case when e%9=0 then rev*0.5 else 0.0 end nol, 0.7+(e%13)/10.0 beta, rev*(m1+0.04) ebitda from c2)"
 )
