@@ -53,8 +53,8 @@ _FOUND = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id",
 DOC, HUB = 0, 1
 #: Sides of a block that a member takes.
 ROW, COLUMN, BOTH = 0, 1, 2
-#: Rows of blocks taken together, and pairs compared at a time.
-LOT, PAIRS = 50_000, 1 << 16
+#: Rows of blocks taken together, pairs looked at together, and bytes of sketches compared at a time.
+LOT, PAIRS, COMPARED = 20_000, 1 << 16, 4 << 20
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,8 +411,9 @@ class _Sketches:
             for v in np.unique(self.width[b]).tolist():
                 which = np.flatnonzero((self.width[a] == w) & (self.width[b] == v))
                 low = min(v, w)
-                for k in range(0, len(which), PAIRS):
-                    part = which[k : k + PAIRS]
+                lot = max(1, COMPARED * 8 // low)
+                for k in range(0, len(which), lot):
+                    part = which[k : k + lot]
                     out[part] = np.bitwise_count(self.at(a[part], w, low) ^ self.at(b[part], v, low)).sum(axis=1, dtype=np.int64)
         return out
 
