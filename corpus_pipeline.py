@@ -5,7 +5,7 @@ predecessor kept, written as Parquet and read again, and returns the columns of
 returns the packed pieces. Stages share no state but those tables.
 
 - ``quality_rules`` keeps the documents that pass the counts and the divergence rules, unchanged.
-- ``line_dedup`` deletes later copies of runs of lines; a document left without a word goes.
+- ``line_dedup`` deletes later copies of runs of lines and of single long lines; a document left without a word goes.
 - ``near_duplicates`` keeps, of every group of linked documents, the one with the smallest id, of
   rows that share that id all; documents without an id are in no group and stay.
 - ``mix_sources`` keeps every document and writes them in the order of the schedule: the rows of its
@@ -29,7 +29,7 @@ from tidemark.llm.packing import best_fit_pack
 from tidemark.llm.parity_join import near_duplicate_groups
 from tidemark.llm.quality_rules import quality_verdicts
 
-#: The stages are not all expressible in SQL; tests hold run() against a brute-force version.
+#: The stages are not all expressible in SQL; tests hold their operators against brute force and each stage against the one before.
 ORACLE_SQL = None
 
 
