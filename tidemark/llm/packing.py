@@ -46,40 +46,42 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+class _Memo(dict):
+    """Text chunk -> its ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= MEMO_LIMIT:
+            self.clear()
+        ids = array("I", self.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= 40:
+            self[chunk] = ids
+        return ids
+
+
 class TokenEncoder:
     """Ids of whole texts under a public byte-level BPE vocabulary, as its tokenizer gives them.
 
     The vocabulary's splitting pattern lets white space only begin a piece, and its special tokens hold
-    none, so a single space between two other characters always starts a piece. Texts are cut there; a
-    worker encodes each chunk once, all new ones of a batch together, and keeps its ids as
-    little-endian unsigned 32-bit bytes.
+    none, so a single space between two other characters always starts a piece. Texts are cut there, and
+    a worker encodes each chunk once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        encode = Tokenizer.from_file(path).encode
+        self.first, self.rest = _Memo(encode, ""), _Memo(encode, " ")
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, found, strict=True)}
+    def _ids(self, text: str) -> bytes:
+        head, *tail = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            head, *tail = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-            split.append([head, *[f" {c}" for c in tail]])
-        if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        new = list(set().union(*split) - self.memo.keys())
-        known = self._learn(new)
-        self.memo |= known
-        out = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in split]
-        for c in known:
-            if len(c) > 40:
-                del self.memo[c]
-        return out
+        return [self._ids(t) for t in texts]
 
 
 _encoders: dict[str, TokenEncoder] = {}
