@@ -330,3 +330,8 @@ def test_ordinal_orders_grades(spark, empty):
 def test_grades(spark):
     df = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, 1, 1), (5, None, 1)], "doc_id long, quality int, toxic int")
     assert {tuple(r) for r in graded(df).collect()} == {(1, 2), (2, 1), (3, 0), (4, 0)}
+
+
+def test_windows_that_only_their_own_document_repeats_stay(spark):
+    df = spark.createDataFrame([(1, "x " * 300)], "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in drop_repeated_words(df).collect()] == [(300, 0)]

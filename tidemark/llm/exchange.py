@@ -111,7 +111,7 @@ def by_owner(batches) -> Iterator[list[tuple[int, int, bytes]]]:
 def edges_of(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(owner, begin, end) of every run of a sorted array of owners."""
     heads = np.flatnonzero(np.diff(to, prepend=-1))
-    yield from zip(to[heads].tolist(), heads.tolist(), np.append(heads[1:], len(to)).tolist(), strict=True)
+    yield from zip(to[heads].tolist(), heads.tolist(), np.append(heads, len(to))[1:].tolist(), strict=True)
 
 
 def texts(documents: DataFrame) -> DataFrame:
