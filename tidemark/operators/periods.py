@@ -2,18 +2,21 @@
 
 Facts are rows of the key columns, ``start``, ``end``, ``val``, ``form``, ``filed`` and ``ord`` (the order in
 which they were reported, which settles ties). Lengths count both ends. A key is one entity's one tag, so
-self-joins meet the few hundred periods of a key and shuffle by it alone.
+the few hundred periods of a key meet in one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import periodcore as core
 from tidemark.operators.saved import saved
 
 #: Days of a year, of a quarter, the look-back of a trailing year, and the slack of tiles.
 ANNUAL, QUARTER, LOOK_BACK, FIRST_SLACK, SLACK, MOST_TILES = (350, 380), (80, 100), 364, 8, 1, 9
+_COVER = "array<struct<tiles:int,value:double,days:int,derived:boolean,filed:date>>"
 
 
 def days(start: str = "start", end: str = "end") -> Column:
@@ -25,30 +28,41 @@ def to_integral(facts: DataFrame) -> DataFrame:
     return facts.where("start is not null").withColumn("val", F.col("val") * days())
 
 
+def _listed(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and _p: the filed periods of a key in the order they were reported."""
+    first = facts.where("start is not null").groupBy(*keys, "start", "end").agg(F.min_by(F.struct("val", "form", "filed", "ord"), "ord").alias("_f"))
+    item = F.struct("_f.ord", "start", "end", F.col("_f.val").cast("double").alias("val"), F.col("_f.form").cast("string").alias("form"), F.col("_f.filed").cast("date").alias("filed"))
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_p")).withColumn("_p", F.transform("_p", lambda x: x.dropFields("ord")))
+
+
+def _whole_keys(keys: list[str]) -> Column:
+    """Facts whose key has a null meet no others."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def _closure(passes: int):
+    kind = "array<struct<start:date,end:date,val:double,form:string,filed:date,n:int,b_start:date,b_end:date,s_start:date,s_end:date>>"
+
+    def close(lists: pa.Array, ok: pa.Array) -> pa.Array:
+        return core.to_lists(core.closed(lists, ok, passes))
+
+    return F.arrow_udf(close, kind)
+
+
 def derived_periods(facts: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
     """All periods, filed or left over when one that shares its start or end is taken from a longer one.
 
     A pass works on what the passes before it knew; known periods are never replaced, and of several
     differences for one period the first in the order of the longer, then the shorter period counts. What is derived
-    is known when the later of its two periods is, and says so in ``derived``.
+    is known when the later of its two periods is, and says so in ``derived``. A key's facts meet in one row (see
+    ``periodcore``), so facts that are partitioned by a part of the key are not dealt again; values are doubles.
     """
-    at = [*keys, "start", "end"]
-    first = facts.where("start is not null").groupBy(*at).agg(F.min_by(F.struct("val", "form", "filed", "ord"), "ord").alias("_f"))
-    order = Window.partitionBy(*keys).orderBy("_f.ord")
-    known = saved(first.select(*at, "_f.val", "_f.form", "_f.filed", F.row_number().over(order).alias("n"), F.lit(None).cast("string").alias("derived")))
-    for _ in range(passes):
-        long = known.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("start", "end", "val", "form", "filed", "n")])
-        short = known.select(*keys, *[F.col(c).alias(f"s_{c}") for c in ("start", "end", "val", "filed", "n")])
-        tail = long.join(short.withColumn("b_start", F.col("s_start")), [*keys, "b_start"]).where("s_end < b_end").withColumns({"start": F.date_add("s_end", 1), "end": F.col("b_end")})
-        head = long.join(short.withColumn("b_end", F.col("s_end")), [*keys, "b_end"]).where("s_start > b_start").withColumns({"start": F.col("b_start"), "end": F.date_sub("s_start", 1)})
-        told = F.concat_ws("", F.col("b_start"), F.lit(".."), F.col("b_end"), F.lit(" less "), F.col("s_start"), F.lit(".."), F.col("s_end"))
-        columns = [*at, (F.col("b_val") - F.col("s_val")).alias("val"), F.col("b_form").alias("form"), F.greatest("b_filed", "s_filed").alias("filed"), told.alias("derived"), F.struct("b_n", "s_n").alias("o")]
-        fresh = tail.select(*columns).unionByName(head.select(*columns)).join(known.select(*at), at, "left_anti")
-        best = fresh.groupBy(*at).agg(F.min_by(F.struct("val", "form", "filed", "derived"), "o").alias("_f"), F.min("o").alias("o"))
-        count = known.groupBy(*keys).agg(F.max("n").alias("before"))
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("o"))
-        known = saved(known.unionByName(best.join(count, keys).select(*at, "_f.val", "_f.form", "_f.filed", (F.col("before") + place).cast("int").alias("n"), "_f.derived")))
-    return known
+    rows = _listed(facts, keys).select(*keys, F.inline(_closure(passes)("_p", _whole_keys(keys))))
+    told = F.when(F.col("b_start").isNotNull(), F.concat_ws("", F.col("b_start"), F.lit(".."), F.col("b_end"), F.lit(" less "), F.col("s_start"), F.lit(".."), F.col("s_end")))
+    return rows.select(*keys, "start", "end", "val", "form", "filed", "n", told.alias("derived"))
 
 
 def cover_window(periods: DataFrame, windows: DataFrame, keys: list[str], *, slack_days: int = FIRST_SLACK) -> DataFrame:
@@ -57,53 +71,54 @@ def cover_window(periods: DataFrame, windows: DataFrame, keys: list[str], *, sla
     Tiles follow each other; the first may begin some days off, the earliest start and then the longest tile is tried
     first, and the first cover in that order is taken. Windows that can't be tiled stay, with nulls.
     """
-    ranked = periods.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("start", days().desc(), "n")))
-    tiles = ranked.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("val").alias("_v"), F.col("filed").alias("_fd"), "_r", F.col("derived").isNotNull().alias("_d"))
-    state = ["_cursor", "_path", "_sum", "_len", "_any", "_last"]
-    front = windows.withColumns({"_cursor": F.col("from"), "_path": F.array().cast("array<int>"), "_sum": F.lit(0.0), "_len": F.lit(0), "_any": F.lit(False), "_last": F.lit(None).cast("date")})
-    columns = windows.columns
-    for depth in range(MOST_TILES):
-        whole = F.abs(F.datediff("_cursor", "to")) <= 1
-        near = F.abs(F.datediff("_s", "_cursor")) <= (slack_days if depth == 0 else SLACK)
-        a, b = front.alias("a"), tiles.alias("b")
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-        fits = ~whole & (F.col("_cursor") <= F.col("to")) & near & (F.col("_e") <= F.date_add("to", slack_days))
-        on = fits
-        for s in same:
-            on = on & s
-        met = a.join(b, on, "left").where(whole | F.col("_s").isNotNull())
-        moved = {
-            "_cursor": F.when(whole, F.col("_cursor")).otherwise(F.date_add("_e", 1)),
-            "_path": F.when(whole, F.col("_path")).otherwise(F.concat("_path", F.array("_r"))),
-            "_sum": F.when(whole, F.col("_sum")).otherwise(F.col("_sum") + F.col("_v")),
-            "_len": F.when(whole, F.col("_len")).otherwise(F.col("_len") + F.datediff("_e", "_s") + 1),
-            "_any": F.when(whole, F.col("_any")).otherwise(F.col("_any") | F.col("_d")),
-            "_last": F.when(whole, F.col("_last")).otherwise(F.greatest("_last", "_fd")),
-        }
-        front = met.select(*[F.col(f"a.{c}").alias(c) for c in columns], *[x.alias(c) for c, x in moved.items()])
-    done = front.where(F.abs(F.datediff("_cursor", "to")) <= 1)
-    best = done.groupBy(*columns).agg(F.min_by(F.struct(*state), "_path").alias("_b"))
-    out = best.select(*columns, F.size("_b._path").alias("tiles"), F.col("_b._sum").alias("value"), F.col("_b._len").alias("days"), F.col("_b._any").alias("derived"), F.col("_b._last").alias("filed"))
-    return windows.join(out, columns, "left")
+    tile = F.struct("start", "end", F.col("val").cast("double").alias("val"), "filed", "n", F.col("derived").isNotNull().alias("derived"))
+    tiles = periods.groupBy(*keys).agg(F.collect_list(tile).alias("_p"))
+
+    def cover(lists: pa.Array, ends: pa.Array) -> pa.Array:
+        return core.covers(core.periods_of(lists), ends, slack_days, SLACK, MOST_TILES)
+
+    return _covers(_by_key(windows, keys, F.struct("from", "to")).join(tiles.hint("merge"), keys, "left").withColumn("_r", F.arrow_udf(cover, _COVER)("_p", "_w")), windows.columns)
+
+
+def cover_derived(facts: DataFrame, windows: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
+    """``cover_window`` by the ``derived_periods`` of facts; they are derived beside the windows, so only filed facts are dealt."""
+
+    def cover(lists: pa.Array, ends: pa.Array, ok: pa.Array) -> pa.Array:
+        return core.covers(core.closed(lists, ok, passes), ends, FIRST_SLACK, SLACK, MOST_TILES)
+
+    met = _by_key(windows, keys, F.struct("from", "to")).join(_listed(facts, keys).hint("merge"), keys, "left")
+    return _covers(met.withColumn("_r", F.arrow_udf(cover, _COVER)("_p", "_w", _whole_keys(keys))), windows.columns)
+
+
+def _covers(met: DataFrame, columns: list[str]) -> DataFrame:
+    each = met.select(F.explode(F.arrays_zip("_a", "_r")).alias("_x"))
+    return each.select(*[F.col(f"_x._a.{c}").alias(c) for c in columns], *[F.col(f"_x._r.{c}").alias(c) for c in ("tiles", "value", "days", "derived", "filed")])
+
+
+def _by_key(rows: DataFrame, keys: list[str], window: Column) -> DataFrame:
+    """keys, all rows of the key in _a and their windows in _w, in one order."""
+    listed = rows.withColumn("_w", window).groupBy(*keys).agg(F.collect_list(F.struct(F.struct(*[F.col(c) for c in rows.columns]).alias("a"), "_w")).alias("_l"))
+    return listed.select(*keys, F.col("_l.a").alias("_a"), F.col("_l._w").alias("_w"))
 
 
 def trailing_twelve_months(facts: DataFrame, as_of: DataFrame, keys: list[str], *, kind: str = "flow") -> DataFrame:
     """keys, as_of, value, filed and method of the twelve months up to each date; null with method null where it can't be formed.
 
     One filed period of a year that ends on the date is taken as it is; else a year back is tiled. ``kind``
-    ``average`` is weighted by days.
+    ``average`` is weighted by days. Periods are derived and tiled beside the dates, so only filed facts are dealt.
     """
-    known = derived_periods(to_integral(facts) if kind == "average" else facts, keys)
-    year = known.where(F.col("derived").isNull() & days().between(*ANNUAL)).withColumnRenamed("end", "as_of")
-    annual = year.groupBy(*keys, "as_of").agg(F.min_by(F.struct("val", "filed", F.datediff("as_of", "start").alias("d")), F.struct("start")).alias("_y"))
-    as_of = saved(as_of)
-    windows = as_of.withColumns({"from": F.date_sub("as_of", LOOK_BACK), "to": F.col("as_of")})
-    tiled = cover_window(known, windows.join(annual, [*keys, "as_of"], "left_anti"), keys)
-    scale = (lambda v, d: v / d) if kind == "average" else (lambda v, d: v)
-    method = F.concat(F.col("tiles").cast("string"), F.lit(" periods tiled"), F.when(F.col("derived"), ", some by subtraction").otherwise(""))
-    one = as_of.join(annual, [*keys, "as_of"]).select(*as_of.columns, scale(F.col("_y.val"), F.col("_y.d") + 1).alias("value"), F.col("_y.filed").alias("filed"), F.lit("single filed annual period").alias("method"))
-    more = tiled.select(*as_of.columns, F.when(F.col("tiles") > 0, scale(F.col("value"), F.col("days"))).alias("value"), "filed", F.when(F.col("tiles") > 0, method).alias("method"))
-    return one.unionByName(more)
+    filed = _listed(to_integral(facts) if kind == "average" else facts, keys)
+
+    def trail(lists: pa.Array, ends: pa.Array, ok: pa.Array) -> pa.Array:
+        return core.trailing(core.closed(lists, ok, 3), ends, ANNUAL, FIRST_SLACK, SLACK, MOST_TILES)
+
+    windows = _by_key(as_of, keys, F.struct(F.date_sub("as_of", LOOK_BACK).alias("from"), F.col("as_of").alias("to")))
+    met = windows.join(filed.hint("merge"), keys, "left").withColumn("_r", F.arrow_udf(trail, _COVER)("_p", "_w", _whole_keys(keys)))
+    each = met.select(F.explode(F.arrays_zip("_a", "_r")).alias("_x")).select("_x._a", "_x._r")
+    value = F.col("_r.value") / F.col("_r.days") if kind == "average" else F.col("_r.value")
+    tiled = F.concat(F.col("_r.tiles").cast("string"), F.lit(" periods tiled"), F.when(F.col("_r.derived"), ", some by subtraction").otherwise(""))
+    method = F.when(F.col("_r.tiles") < 0, "single filed annual period").when(F.col("_r.tiles") > 0, tiled)
+    return each.select(*[F.col(f"_a.{c}").alias(c) for c in as_of.columns], F.when(F.col("_r.tiles") != 0, value).alias("value"), F.col("_r.filed").alias("filed"), method.alias("method"))
 
 
 def latest_annual(facts: DataFrame, as_of: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ DATES = ("1997-12-31", "1998-06-30", "1998-10-02", "1999-03-31", "2003-12-31")
 
 def ytd(spark, d):
     """What each customer ordered from January on, as filed after three, six, nine and twelve months of every year with orders."""
-    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.sum("o_totalprice").alias("v"))
+    orders = load(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice").repartition("o_custkey")
+    o = orders.groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.sum("o_totalprice").alias("v"))
     each = o.groupBy("entity", "y").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("q") <= k, F.col("v"))), F.lit(0.0)), 2).alias(f"v{k}") for k in range(1, 5)])
     rows = each.select("entity", "y", F.posexplode(F.array("v1", "v2", "v3", "v4")).alias("k", "val"))
     end = F.last_day(F.make_date("y", 3 * F.col("k") + 3, F.lit(1)))
@@ -24,9 +25,10 @@ def ytd(spark, d):
 def tagged(spark, d):
     """Year-to-date facts under tag y; a twentieth of them under a part's tag that ranks ahead, for every third customer, and whole years only under tag z."""
     f = ytd(spark, d)
-    part = f.where("entity % 3 = 0").withColumns({"tag": F.lit("part"), "val": F.col("val") / 20})
-    year = f.where("entity % 2 = 0 and month(end) = 12").withColumn("tag", F.lit("z"))
-    return part.unionByName(f.where("entity % 7 <> 0").withColumn("tag", F.lit("y"))).unionByName(year)
+    tag = lambda name, when, val: F.when(when, F.struct(F.lit(name).alias("tag"), val.alias("val")))
+    e, val = F.col("entity"), F.col("val")
+    tags = F.array(tag("part", e % 3 == 0, val / 20), tag("y", e % 7 != 0, val), tag("z", (e % 2 == 0) & (F.month("end") == 12), val))
+    return f.withColumn("_t", F.explode(F.filter(tags, lambda t: t.isNotNull()))).select("entity", "start", "end", F.col("_t.val").alias("val"), "ord", "filed", "form", F.col("_t.tag").alias("tag"))
 
 
 def as_of(spark, d):
@@ -69,7 +71,7 @@ def derived(spark, d):
 
 def covered(spark, d):
     w = as_of(spark, d).select("entity", F.date_sub("as_of", 364).alias("from"), F.col("as_of").alias("to"))
-    out = p.cover_window(p.derived_periods(ytd(spark, d), KEY), w, KEY)
+    out = p.cover_derived(ytd(spark, d), w, KEY)
     return out.select("entity", F.col("from").alias("window_from"), F.col("to").alias("window_to"), "tiles", F.round("value", 2).alias("value"), "days", "derived")
 
 
