@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.functions import folds
 from tidemark.functions import valuation as v
 from tidemark.operators import signals as sg
 from tidemark.sources.tables import load
@@ -27,6 +30,38 @@ def company(spark, d):
     return out.withColumn("ebitda", F.col("rev") * (F.col("m1") + 0.04))
 
 
+#: The figures that a value per share takes.
+FIGURES = ("rev", "g1", "gn", "m1", "mn", "tax", "rate", "tg", "debt", "cash", "shares", "price")
+
+
+def spread(spark, df):
+    """df by company over several tasks a core: a table of companies is one small file, and it is the valuation that takes time."""
+    return df.repartition(8 * spark.sparkContext.defaultParallelism, "e")
+
+
+def plain(columns, tail: int = 0):
+    """The figures by name, nulls as NaN, as columns of so many further dimensions."""
+    out = (c.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in columns)
+    return {k: x.reshape(-1, *[1] * tail) for k, x in zip(FIGURES, out, strict=True)}
+
+
+def share_value(x, growth=None, **changed):
+    """The per-share value of companies' figures, some of them replaced."""
+    y = {**x, **changed}
+    ev = folds.dcf_value(y["rev"], y["g1"], y["gn"], y["m1"], y["mn"], y["tax"], y["rate"], y["tg"], N, growth)
+    return (ev - (x["debt"] - x["cash"])) / x["shares"]
+
+
+def nulls(x, kind=None):
+    """An array whose NaN are nulls."""
+    x = np.ascontiguousarray(x).ravel()
+    return pa.array(x, kind, mask=np.isnan(x))
+
+
+def in_lists(flat: pa.Array, width: int):
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat)
+
+
 COMPANY = doubles(
     "c0 as (select c_custkey e, abs(c_acctbal) bal from customer), c1 as (select *, bal+100.0+sqrt(e+0.5) rev, (e%20)/100.0 g1, 0.03 gn, case when e%9=0 then -0.1 else 0.05+(e%7)/50.0 end m1, 0.2 mn, 0.25 tax, 0.08+(e%5)/100.0 rate, 0.025 tg from c0),"
     " c2 as (select *, (10+e%50)::double price, (50+e%100)::double shares, rev*((e%4)/4.0) debt, case when e%6=0 then rev*0.2 else 0.0 end conv, case when e%12<>0 then 30.0 end conv_price, rev*0.02 fin_lease, rev*0.05 op_lease from c1),"
@@ -128,11 +163,21 @@ def grid(axis: str, values: tuple):
     """A 5 by 5 grid of the projection's value: the rate against perpetual growth, or against the exit multiple."""
 
     def run(spark, d):
-        c = company(spark, d).withColumn("w", F.explode(F.array(*[F.col("rate") + x for x in (-0.02, -0.01, 0.0, 0.01, 0.02)]))).withColumn("x", F.explode(F.array(*map(F.lit, values))))
-        y = projection(None)
-        tg, multiple = (F.col("x"), F.lit(11.0)) if axis == "growth" else (F.col("tg"), F.col("x"))
-        out = v.run_dcf(y, F.col("w"), tg, F.col("tax"), F.col("mn"), years=N, multiple=multiple)
-        return c.select(F.col("e").alias("entity"), F.round("w", 4).alias("rate"), F.col("x").alias(axis), F.round(out["gordon" if axis == "growth" else "exit"], 3).alias("value"))
+        def values_of(*columns: pa.Array) -> pa.Array:
+            x = plain(columns, 2)
+            with np.errstate(all="ignore"):
+                f, rev, ebit = folds.flows(np.where(x["rev"] > 0, x["rev"], np.nan), lambda t: folds._line(x["g1"], x["gn"], t, N), x["m1"], x["mn"], x["tax"], N)
+                w, tried = x["rate"] + np.array(STEPS).reshape(1, -1, 1), np.array(values).reshape(1, 1, -1)
+                ebitda = ebit + 0.04 * rev
+                late = folds.perpetuity(f[-1], w, tried) * np.power(1 + w, -(N - 0.5)) if axis == "growth" else np.where(ebitda > 0, ebitda * tried, np.nan) * np.power(1 + w, -float(N))
+                return in_lists(nulls(folds.present(f, w) + late), len(STEPS) * len(values))
+
+        value = F.arrow_udf(values_of, "array<double>")(*FIGURES)
+        c = spread(spark, company(spark, d)).select("e", "rate", value.alias("v"))
+        each = c.select("e", "rate", F.posexplode("v").alias("k", "value"))
+        at = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k.cast("int"))
+        w = F.col("rate") + at(STEPS, F.floor(F.col("k") / len(values)))
+        return each.select(F.col("e").alias("entity"), F.round(w, 4).alias("rate"), at(values, F.col("k") % len(values)).alias(axis), F.round("value", 3).alias("value"))
 
     return run
 
@@ -142,6 +187,7 @@ def grid_sql(axis: str, values: tuple) -> str:
     return doubles(f"with recursive {COMPANY}, {years_sql(sbc='0.0', issue=False, nol='0.0')}, k as (select e, rate, list(fc order by t) f, max(fc) filter (where t=10) fl, max(eb+0.04*rv) filter (where t=10) ebn from y where t>0 group by e, rate), g as (select *, rate+dw w from k, (values (-0.02),(-0.01),(0.0),(0.01),(0.02)) a(dw), (values {','.join(f'({x})' for x in values)}) b(x)) select e entity, round(w,4) rate, x::double {axis}, round(list_sum(list_transform(range(1,11), lambda t: f[t]/power(1+w,t-0.5))) + {tail},3) as value from g")
 
 
+STEPS = (-0.02, -0.01, 0.0, 0.01, 0.02)
 RATES, MULTIPLES = (0.01, 0.015, 0.02, 0.025, 0.03), (7.0, 9.0, 11.0, 13.0, 15.0)
 
 
@@ -170,11 +216,16 @@ def implied_sql(name: str, low: float, high: float) -> str:
 
 def duration(spark, d):
     """Years for which the first year's growth must hold to be worth the price: the first of 0 to 10 whose value reaches it."""
-    hold = lambda k: F.transform(F.sequence(F.lit(1), F.lit(N)), lambda t: F.when(t <= k, F.col("g1")).otherwise(F.col("gn")))
-    c = company(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(N))))
-    rows = projection(None, path=hold(F.col("k")))
-    value = (v.run_dcf(rows, F.col("rate"), F.col("tg"), F.col("tax"), F.col("mn"), years=N)["gordon"] - (F.col("debt") - F.col("cash"))) / F.col("shares")
-    got = c.withColumn("value", value).groupBy("e").agg(F.min(F.when(F.col("value") >= F.col("price"), F.col("k"))).alias("years"))
+
+    def first_year(*columns: pa.Array) -> pa.Array:
+        x = plain(columns, 1)
+        k = np.arange(N + 1).reshape(1, -1)
+        value = share_value(x, lambda t: np.where(t <= k, x["g1"], x["gn"]))
+        enough = value >= x["price"]
+        return pa.array(enough.argmax(axis=1).astype(np.int32), mask=~enough.any(axis=1))
+
+    c = spread(spark, company(spark, d)).select("e", F.arrow_udf(first_year, "int")(*FIGURES).alias("years"))
+    got = c.groupBy("e").agg(F.min("years").alias("years"))
     return got.select(F.col("e").alias("entity"), F.col("years").cast("int").alias("years"), F.when(F.col("years").isNull(), "not within ten years").alias("reason"))
 
 
@@ -183,10 +234,17 @@ DURATION_SQL = doubles(f"with recursive {COMPANY}, cc as (select c.*, k from c,
 
 def frontier(spark, d):
     """For six margins the growth that meets the price."""
-    c = company(spark, d).withColumn("margin", F.explode(F.array(*map(F.lit, (0.1, 0.15, 0.2, 0.25, 0.3, 0.35)))))
-    c = c.withColumn("s", v.solve_monotone(lambda x: value_with(None, g1=x, mn=F.col("margin")), F.col("price"), -0.2, 0.6, 50))
-    miss = F.abs(value_with(None, g1=F.col("s.root"), mn=F.col("margin")) - F.col("price"))
-    return c.select(F.col("e").alias("entity"), "margin", "s.reached", F.round(miss, 3).alias("miss"))
+    margins = (0.1, 0.15, 0.2, 0.25, 0.3, 0.35)
+
+    def solved(*columns: pa.Array) -> pa.Array:
+        x = {k: np.repeat(y, len(margins)) for k, y in plain(columns).items()}
+        x["mn"] = np.tile(np.array(margins), len(columns[0]))
+        root, reached, _ = folds.solve_monotone(lambda g: share_value(x, g1=g), x["price"], -0.2, 0.6, 50)
+        miss = np.abs(share_value(x, g1=root) - x["price"])
+        return in_lists(pa.StructArray.from_arrays([pa.array(x["mn"]), pa.array(reached), nulls(miss)], ["margin", "reached", "miss"]), len(margins))
+
+    c = spread(spark, company(spark, d)).select("e", F.explode(F.arrow_udf(solved, "array<struct<margin:double,reached:boolean,miss:double>>")(*FIGURES)).alias("s"))
+    return c.select(F.col("e").alias("entity"), "s.margin", "s.reached", F.round("s.miss", 3).alias("miss"))
 
 
 FRONTIER_SQL = doubles(f"with recursive {COMPANY}, cc as (select c.* replace (gg as g1, mm as mn), side from c, (values (-0.2,0),(0.6,1)) a(gg,side), (values (0.1),(0.15),(0.2),(0.25),(0.3),(0.35)) b(mm)), {years_sql('cc', sbc='0.0', issue=False, nol='0.0')}, k as (select e, mn, side, any_value(price) price, (sum(fc/power(1+rate,t-0.5)) + max(fc) filter (where t=10)*(1+any_value(tg))/(any_value(rate)-any_value(tg))*power(1+any_value(rate),-9.5) - any_value(debt-cash))/any_value(shares) val from y where t>0 group by e, mn, side), p as (select e, mn, any_value(price) price, max(val) filter (where side=0) a, max(val) filter (where side=1) b from k group by e, mn) select e entity, mn::double margin, coalesce(price between least(a,b) and greatest(a,b), false) reached, case when price between least(a,b) and greatest(a,b) then 0.0 end miss from p")
@@ -226,8 +284,44 @@ def simulated(spark, d):
 
 
 def simulation(spark, d):
-    s = simulated(spark, d).groupBy("e").agg(F.count("value").alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("rejected"), *[F.round(F.percentile("value", F.lit(p)), 3).alias(f"p{int(p * 100):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)], F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_pop("value"), 3).alias("sd"), F.round(F.avg((F.col("value") > F.col("price")).cast("double")), 6).alias("above_price"), F.round(F.avg((F.col("value") <= F.col("price")).cast("double")), 6).alias("price_percentile"))
-    return s.withColumnRenamed("e", "entity")
+    """The draws' values of a company in one row, summed up beside it: nothing but companies is dealt."""
+    shocks = np.array([[r[f"s{i}"] for i in range(len(SHOCKS))] for r in draws(spark).collect()])
+    points = (0.05, 0.25, 0.5, 0.75, 0.95)
+    names = ["n", "rejected", *[f"p{int(p * 100):02d}" for p in points], "mean", "sd", "above_price", "price_percentile"]
+
+    def summed(values: np.ndarray, price: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
+        """Of the rows of every company (one, unless its key is repeated) all draws together."""
+        total = np.diff(np.append(heads, len(values)))
+        above, below = (np.add.reduceat(x.sum(axis=1), heads) for x in (values > price, values <= price))
+        every = np.full((len(heads), total.max(), values.shape[1]), np.nan)
+        owner = np.repeat(np.arange(len(heads)), total)
+        every[owner, np.arange(len(values)) - heads[owner]] = values
+        every = np.sort(every.reshape(len(heads), -1), axis=1)
+        n = (~np.isnan(every)).sum(axis=1)
+        some = np.where(n == 0, np.nan, n)
+        mean = np.nansum(every, axis=1) / some
+        sd = np.sqrt(np.nansum((every - mean[:, None]) ** 2, axis=1) / some)
+        return [n, total * values.shape[1] - n, *[folds.quantile(every, n, p) for p in points], mean, sd, above / some, below / some]
+
+    def simulate(lists: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(lists), 500):
+            part = lists[at : at + 500]
+            x = plain(part.flatten().flatten(), 1)
+            moved = {k: x[k] + shocks[:, i].reshape(1, -1) * sd for i, (k, sd) in enumerate(SHOCKS)}
+            with np.errstate(all="ignore"):
+                ok = (moved["tg"] < moved["rate"]) & (moved["rate"] > 0)
+                values = np.where(ok, share_value(x, **{**moved, "rate": np.where(ok, moved["rate"], np.nan)}), np.nan)
+            sizes = part.value_lengths().to_numpy(zero_copy_only=False)
+            parts.append(summed(values, x["price"], np.cumsum(sizes) - sizes))
+        out = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(names)
+        return pa.StructArray.from_arrays([*[pa.array(c.astype(np.int64)) for c in out[:2]], *[nulls(c) for c in out[2:]]], names)
+
+    kind = "struct<" + ",".join(f"{k}:{'long' if i < 2 else 'double'}" for i, k in enumerate(names)) + ">"
+    listed = spread(spark, company(spark, d)).groupBy("e").agg(F.collect_list(F.struct(*FIGURES)).alias("c"))
+    c = listed.select("e", F.arrow_udf(simulate, kind)("c").alias("s"))
+    places = lambda k: 6 if k in ("above_price", "price_percentile") else 3
+    return c.select(F.col("e").alias("entity"), "s.n", "s.rejected", *[F.round(f"s.{k}", places(k)).alias(k) for k in names[2:]])
 
 
 def _u(k):
