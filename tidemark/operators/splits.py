@@ -7,12 +7,15 @@ order is one entity's handful of sightings and filings, so those folds run in th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ratios that boards declare, how near a ratio must come to be one of them, and to be a product of them.
 RATIOS = (2.0, 3.0, 4.0, 5.0, 10.0, 20.0, 1.5, 2.5, 0.5, 0.1, 0.05)
 MATCH, SNAP = 0.005, 0.01
+NONE = -(1 << 30)
 
 
 def usable(versions: DataFrame) -> DataFrame:
@@ -28,8 +31,8 @@ def version_pairs(versions: DataFrame) -> DataFrame:
 
 def sightings(versions: DataFrame) -> DataFrame:
     """Pairs whose ratio is one a board declares: entity, factor, older, newer, start, end, each once."""
-    found = F.filter(F.array(*map(F.lit, RATIOS)), lambda r: F.abs(F.col("ratio") - r) < MATCH * r)
-    return version_pairs(versions).withColumn("factor", F.get(found, F.lit(0))).where("factor is not null").select("entity", "factor", "older", "newer", "start", "end").distinct()
+    found = F.coalesce(*[F.when(F.abs(F.col("ratio") - r) < MATCH * r, F.lit(r)) for r in RATIOS])
+    return version_pairs(versions).withColumn("factor", found).where("factor is not null").select("entity", "factor", "older", "newer", "start", "end").distinct()
 
 
 def brackets(seen: DataFrame) -> DataFrame:
@@ -76,25 +79,55 @@ def basis_by_filing(versions: DataFrame, ordered: DataFrame) -> DataFrame:
     Filings are walked from the newest: each takes, of the later filings it shares a period with, the basis that most of their ratios give, the
     larger of equal votes; without any, the product of splits whose bracket ends after it.
     """
-    v = usable(versions).select("entity", "tag", "start", "end", "filed", "val", "ord")
-    same = [F.col("o.entity") == F.col("n.entity"), F.col("o.tag") == F.col("n.tag"), F.col("o.start").eqNullSafe(F.col("n.start")), F.col("o.end") == F.col("n.end"), F.col("o.filed") < F.col("n.filed")]
-    on = same[0] & same[1] & same[2] & same[3] & same[4]
-    pair = v.alias("o").join(v.alias("n"), on).select(F.col("o.entity").alias("entity"), F.col("o.filed").alias("filed"), F.col("n.filed").alias("later"), (F.col("n.val") / F.col("o.val")).alias("ratio"))
-    links = pair.join(ordered.select("entity", "products"), "entity").withColumn("step", snapped(F.col("ratio"), F.col("products"))).where("step is not null")
-    per = links.groupBy("entity", "filed").agg(F.collect_list(F.struct("later", "step")).alias("links"))
-    filings = v.join(ordered.select("entity"), "entity", "left_semi").select("entity", "filed").distinct().join(per, ["entity", "filed"], "left")
-    listed = filings.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("filed", "links")), asc=False).alias("f")).join(ordered, "entity")
-    kind = "map<date,double>"
-
-    def step(known: Column, x: Column) -> Column:
-        votes = F.filter(F.transform(F.coalesce(x["links"], F.array().cast("array<struct<later:date,step:double>>")), lambda k: k["step"] * F.element_at(known, k["later"])), lambda y: y.isNotNull())
-        ranked = F.array_sort(F.transform(F.array_distinct(votes), lambda y: F.struct(F.size(F.filter(votes, lambda z: z == y)).alias("n"), y.alias("y"))))
-        guess = F.aggregate("b", F.lit(1.0), lambda p, b: F.when(x["filed"] < b["hi"], p * b["factor"]).otherwise(p))
-        own = F.coalesce(F.get(ranked, F.size(ranked) - 1)["y"], guess)
-        return F.map_concat(known, F.map_from_arrays(F.array(x["filed"]), F.array(own)))
-
-    out = listed.select("entity", F.explode(F.aggregate("f", F.create_map().cast(kind), step)).alias("filed", "basis"))
-    return out
+    v = usable(versions).join(ordered.select("entity").hint("shuffle_hash"), "entity", "left_semi").select("entity", "tag", "start", "end", "filed", "val")
+    period = v.groupBy("entity", "tag", "start", "end").agg(F.collect_list(F.struct("filed", "val")).alias("vs"))
+    alone = lambda o: F.array(F.struct(o["filed"].alias("filed"), F.lit(None).cast("date").alias("later"), F.lit(None).cast("double").alias("ratio")))
+    after = lambda o: F.filter("vs", lambda n: F.col("tag").isNotNull() & (n["filed"] > o["filed"]))
+    each = lambda o: F.concat(alone(o), F.transform(after(o), lambda n: F.struct(o["filed"].alias("filed"), n["filed"].alias("later"), (n["val"] / o["val"]).cast("double").alias("ratio"))))
+    pairs = period.select("entity", F.flatten(F.transform("vs", each)).alias("f"))
+    listed = pairs.groupBy("entity").agg(F.flatten(F.collect_list("f")).alias("f")).join(ordered.hint("shuffle_hash"), "entity")
+    walk = F.arrow_udf(_walked, "array<struct<filed:date,basis:double>>")
+    return listed.select("entity", F.inline(walk("f", "b", "products")))
+
+
+def _walked(pairs: pa.Array, brackets: pa.Array, products: pa.Array) -> pa.Array:
+    """Filings of every entity with their bases; ``pairs`` has a filing's later ones and the ratios to them, or nulls."""
+    out_at, out_filed, out_basis = [0], [], []
+    ends = [x.value_lengths().to_numpy(zero_copy_only=False).cumsum() for x in (pairs, brackets, products)]
+    f, b, steps = pairs.flatten(), brackets.flatten(), products.flatten().to_numpy(zero_copy_only=False)
+    day = lambda x: x.cast(pa.int32()).fill_null(NONE).to_numpy(zero_copy_only=False)
+    filed, later, ratio = day(f.field("filed")), day(f.field("later")), f.field("ratio").to_numpy(zero_copy_only=False)
+    his, factors = day(b.field("hi")).tolist(), b.field("factor").to_pylist()
+    i0 = b0 = p0 = 0
+    for i1, b1, p1 in zip(*(e.tolist() for e in ends), strict=True):
+        # the first product within a hundredth of the ratio
+        r, q = ratio[i0:i1, None], steps[None, p0:p1]
+        near = np.abs(r - q) <= SNAP * q
+        step = np.where(near.any(axis=1), steps[p0:p1][near.argmax(axis=1)], np.nan)
+        order = np.argsort(-filed[i0:i1].astype(np.int64), kind="stable")
+        days, afters, ways = filed[i0:i1][order].tolist(), later[i0:i1][order].tolist(), step[order].tolist()
+        known: dict[int, float] = {}
+        at, n = 0, len(days)
+        while at < n:
+            d, votes = days[at], {}
+            while at < n and days[at] == d:
+                if ways[at] == ways[at] and afters[at] in known:
+                    y = ways[at] * known[afters[at]]
+                    votes[y] = votes.get(y, 0) + 1
+                at += 1
+            if votes:
+                known[d] = max(votes, key=lambda y: (votes[y], y))
+            else:
+                own = 1.0
+                for hi, factor in zip(his[b0:b1], factors[b0:b1], strict=True):
+                    own = own * factor if d < hi else own
+                known[d] = own
+        out_filed += known.keys()
+        out_basis += known.values()
+        out_at.append(len(out_filed))
+        i0, b0, p0 = i1, b1, p1
+    items = pa.StructArray.from_arrays([pa.array(out_filed, pa.int32()).cast(pa.date32()), pa.array(out_basis, pa.float64())], ["filed", "basis"])
+    return pa.ListArray.from_arrays(pa.array(out_at, pa.int32()), items)
 
 
 def split_thresholds(ordered: DataFrame, basis: DataFrame) -> DataFrame:
