@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.valuation import let
+
 #: Words that end company names and say nothing of them, and English words that weigh nothing.
 SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "holdings", "holding", "group", "sa", "nv", "ag")
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "with")
@@ -55,17 +57,22 @@ def contents_runs(found: Column, most_gap: int = 600) -> Column:
 
 def sections(text: Column, names: tuple[str, ...]) -> Column:
     """Sections in canonical order, each from its first header after the one before: array of (name, start, stop, chars)."""
-    found = headers(text, names)
     order = F.array(*map(F.lit, names))
     start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<name:string,at:int,stop:int>>").alias("out"))
 
-    def step(s: Column, name: Column) -> Column:
-        hit = F.get(F.filter(found, lambda h: (h["name"] == name) & (h["at"] >= s["from"])), F.lit(0))
-        return F.when(hit.isNotNull(), F.struct(hit["stop"].alias("from"), F.concat(s["out"], F.array(hit)).alias("out"))).otherwise(s)
+    def chosen(found: Column) -> Column:
+        def step(s: Column, name: Column) -> Column:
+            hit = F.get(F.filter(found, lambda h: (h["name"] == name) & (h["at"] >= s["from"])), F.lit(0))
+            return F.when(hit.isNotNull(), F.struct(hit["stop"].alias("from"), F.concat(s["out"], F.array(hit)).alias("out"))).otherwise(s)
+
+        return F.aggregate(order, start, step, lambda s: s["out"])
+
+    def measured(kept: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(kept, i + 1)["at"], F.length(text))
+        return F.transform(kept, lambda h, i: F.struct(h["name"].alias("name"), h["stop"].alias("start"), end(i).alias("stop"), (end(i) - h["stop"]).alias("chars")))
 
-    kept = F.aggregate(order, start, step, lambda s: s["out"])
-    end = lambda i: F.coalesce(F.get(kept, i + 1)["at"], F.length(text))
-    return F.transform(kept, lambda h, i: F.struct(h["name"].alias("name"), h["stop"].alias("start"), end(i).alias("stop"), (end(i) - h["stop"]).alias("chars")))
+    # headers are searched once a text, not once a name and section
+    return let(let(headers(text, names), chosen), measured)
 
 
 def covered_share(parts: Column, text: Column) -> Column:

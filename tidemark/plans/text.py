@@ -56,7 +56,7 @@ HEADED_SQL = "select c_custkey entity, case when c_custkey%10=0 then 0 else 7 en
 
 def sectioned(spark, d):
     body = F.regexp_replace("text", r"(?s)^Item 1\nItem 1A\nItem 2\nItem 7\n", "")
-    f = filing(spark, d).withColumn("text", body).withColumn("s", tx.sections(F.col("text"), ITEMS))
+    f = filing(spark, d).repartition(8 * spark.sparkContext.defaultParallelism, "entity").withColumn("text", body).withColumn("s", tx.sections(F.col("text"), ITEMS))
     return f.select("entity", F.transform("s", lambda x: x["name"]).cast("string").alias("items"), F.round(tx.covered_share(F.col("s"), F.col("text")), 6).alias("covered"))
 
 
