@@ -6,11 +6,12 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import mixing, packing
+from tidemark.llm import hamming_topk, mixing, packing
 from tidemark.llm.license_scan import license_detections, rules
 
 
@@ -101,3 +102,37 @@ def test_every_rule_is_tried_on_all_it_matches(spark):
 @pytest.mark.parametrize(("text", "label"), [("released under the GNU GPL", "gpl"), ("It may not be reproduced.", "no-redistribution"), ("GNU Library General Public License", "lgpl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit")])
 def test_license_wordings_without_the_family_keyword(spark, text, label):
     assert label in license_detections(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"].split(",")
+
+
+def test_multi_index_verifies_each_code_once_and_few_of_them():
+    r = np.random.default_rng(12)
+    codes = r.integers(0, 1 << 63, (20_000, 1)).astype(np.uint64)
+    index = hamming_topk.MultiIndex(np.arange(20_000), codes, 64)
+    found = index._found
+    index.met = 0
+
+    def counted(table, radius, queries, active, bound):
+        for q, row, d in found(table, radius, queries, active, bound):
+            assert len(set(zip(q.tolist(), row.tolist(), strict=True))) == len(q)
+            index.met += len(q)
+            yield q, row, d
+
+    index._found = counted
+    q, row, d = index.search(codes[:40], 11)
+    far = np.bitwise_count(codes[:40] ^ codes.T)
+    for i in range(40):
+        want = np.lexsort((np.arange(20_000), far[i]))[:11]
+        assert row[q == i].tolist() == want.tolist() and d[q == i].tolist() == far[i][want].tolist()
+    assert index.met < 40 * 20_000 / 10
+
+
+def test_top_k_deals_queries_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hamming_topk, "TASK_PAIRS", 1000)
+    e = np.random.default_rng(13).normal(size=(600, 70))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<double>")
+    got = {tuple(x) for x in hamming_topk.top_k(df, dims=70, shard_rows=250).collect()}
+    want = set()
+    for q in range(0, 600, 20):
+        d = ((e > 0) != (e[q] > 0)).sum(axis=1)
+        want |= {(q, int(j), int(d[j]), k + 1) for k, j in enumerate([j for j in np.lexsort((np.arange(600), d)) if j != q][:10])}
+    assert got == want and hamming_topk._parts(600, 30) > 1
