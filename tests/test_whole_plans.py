@@ -1,7 +1,9 @@
 """Queries that once ran over a subset of ids, groups or quarters have a form over all of them."""
 
+import numpy as np
 from oracle import DATA, duck
 
+from tidemark.operators import pairs
 from tidemark.plans import models, registry
 
 SF = f"{DATA}/sf0.001"
@@ -23,3 +25,25 @@ def test_pairs_of_all_parts_also_in_lots(spark):
 def test_every_quarter_has_deciles(spark):
     n = duck("sf0.001").sql("select count(distinct last_day(date_trunc('quarter', o_orderdate) + interval 2 month)) from orders").fetchall()[0][0]
     assert registry.queries()["reversion_deciles"](spark, SF).select("qtr").distinct().count() == n > 1
+
+
+def test_pairs_travel_as_lists(spark):
+    """A part of 300 suppliers makes 89,700 pairs; no exchange holds them, only its lists, once a block."""
+    rows = [(g, s) for g in range(20) for s in range(300)] + [(None, 1), (99, None), (50, 7), (51, -(1 << 40)), (51, 1 << 40)]
+    df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long")
+    for hot in (1000, 7):
+        out = pairs.co_members(df, "l_partkey", "l_suppkey", hot)
+        got = [tuple(r) for r in out.collect()]
+        want = {(a, b) for a in range(300) for b in range(300) if a != b} | {(-(1 << 40), 1 << 40), (1 << 40, -(1 << 40))}
+        assert set(got) == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
+
+
+def test_pairs_of_a_peer_with_more_partners_than_a_step(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "STEP", 50)
+    own, skip, length = np.array([3, 2]), np.array([0, 0]), np.array([90, 40])
+    peers = np.concatenate([np.arange(90), np.arange(0, 80, 2)])
+    got = [x for a, b in pairs._met(own, skip, length, peers) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in range(3) for b in range(a + 1, 90)} | {(a, b) for a in (0, 2) for b in range(a + 2, 80, 2)}

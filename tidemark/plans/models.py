@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import valuation as v
 from tidemark.operators import crosssection as cs
 from tidemark.operators import series
+from tidemark.operators.pairs import co_members
 from tidemark.plans.panel import MID, WEEKLY_SQL
 from tidemark.sources.tables import load, prices
 
@@ -72,14 +73,8 @@ def most_named(spark, d):
 
 
 def co_pairs(spark, d, hot=1000):
-    """Symmetric pairs of suppliers that ship any part together; a part's peers meet in lots of about ``hot``."""
-    g = named(spark, d)
-    lots = g.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("lots")).where("lots > 1")
-    g = g.join(lots, "grp", "left").withColumn("lots", F.coalesce("lots", F.lit(1)))
-    x = g.select("grp", F.pmod(F.xxhash64("peer"), F.col("lots")).cast("int").alias("lot"), F.col("peer").alias("a"))
-    y = g.select("grp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col("peer").alias("b"))
-    pairs = x.join(y, ["grp", "lot"]).where("a < b").select("a", "b").distinct()
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Symmetric pairs of suppliers that ship any part together; a long list of a part's suppliers is cut into lots of ``hot``."""
+    return co_members(load(spark, d, "lineitem"), "l_partkey", "l_suppkey", hot)
 
 
 CO_SQL = "with g as (select distinct l_partkey grp, l_suppkey peer from lineitem) select distinct x.peer a, y.peer b from g x join g y on x.grp=y.grp and x.peer<>y.peer"
