@@ -1,5 +1,7 @@
 """Queries that once ran over a subset of ids, groups or quarters have a form over all of them."""
 
+import math
+
 import numpy as np
 from oracle import DATA, duck
 
@@ -47,3 +49,32 @@ def test_pairs_of_a_peer_with_more_partners_than_a_step(spark, monkeypatch):
     got = [x for a, b in pairs._met(own, skip, length, peers) for x in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(got) == len(set(got))
     assert set(got) == {(a, b) for a in range(3) for b in range(a + 1, 90)} | {(a, b) for a in (0, 2) for b in range(a + 2, 80, 2)}
+
+
+def test_nearest_of_odd_repeated_and_many_vectors(spark, monkeypatch):
+    """Against plain cosines, with copies, zeros, nulls, unlike dimensions and shards smaller than a tile; no join of queries with vectors."""
+    monkeypatch.setattr(pairs, "SHARD_PAIRS", 1000)
+    monkeypatch.setattr(pairs, "TILE", 50)
+    e = np.random.default_rng(3).normal(size=(400, 8))
+    e[100:160], e[180:190], e[200] = e[100], e[181] * (1 + 1e-9), 0
+    vectors = {i: e[i].tolist() for i in range(400)} | {401: None, 402: [1.0], 420: [None] * 8, 440: [2.0], 460: [float("nan")] * 8}
+    df = spark.createDataFrame([*vectors.items(), (None, [1.0] * 8)], "vec_id long, embedding array<double>")
+
+    def cosine(x, y):
+        if x is None or y is None or None in x or None in y or len(x) != len(y):
+            return None
+        norm = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y))
+        return round(sum(a * b for a, b in zip(x, y, strict=True)) / norm, 6) if norm and not math.isnan(norm) else math.nan
+
+    def order(c, j):
+        return (2, 0, j) if c is None else (0, 0, j) if math.isnan(c) else (1, -c, j)
+
+    want = {}
+    for q in (i for i in vectors if i % 20 == 0):
+        every = sorted(order(cosine(vectors[q], y), j) for j, y in vectors.items() if j != q)
+        want |= {(q, k + 1): (j, level, round(-c, 6)) for k, (level, c, j) in enumerate(every[:5])}
+    out = pairs.nearest_by_cosine(df, "vec_id", "embedding")
+    got = {(r.query_id, r.place): (r.vec_id, *order(r.cosine, 0)[:2]) for r in out.collect()}
+    assert {k: (j, level, round(-c, 6)) for k, (j, level, c) in got.items()} == want
+    assert "NestedLoopJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert pairs.nearest_by_cosine(df.limit(0), "vec_id", "embedding").count() == 0

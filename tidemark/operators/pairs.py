@@ -147,3 +147,148 @@ def co_members(members: DataFrame, group: str, peer: str, hot: int = 1000, block
     sorted_groups = g.repartition("grp").sortWithinPartitions("grp", "peer")
     lists = sorted_groups.mapInArrow(_listed(bounds, hot), _LISTS).repartitionById(len(bounds) + 1, "block")
     return lists.mapInArrow(_pairs, "a long, b long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+
+
+#: Vectors of a tile and queries of a block, whose products are formed at a time; pairs that make one more shard; a task's most queries.
+TILE, ASKED, SHARD_PAIRS, MOST_QUERIES = 4096, 256, 100_000_000, 1 << 17
+
+
+def _few_of_each(ids: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """Places of at most so many rows of each vector, those with the smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    _, which = np.unique(np.ascontiguousarray(rows[order]).view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_inverse=True)
+    by = np.argsort(which, kind="stable")
+    heads = np.flatnonzero(np.diff(which[by], prepend=-1))
+    rank = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
+    return np.sort(order[by[rank < most]])
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows over their norms, and which rows have a norm to go by."""
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+    sound = np.isfinite(norm) & (norm > 0)
+    return (rows / np.where(sound, norm, 1.0)[:, None]).astype(np.float32), sound
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows beside each other, summed up in their order."""
+    xy, xx, yy = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    for i in range(x.shape[1]):
+        a, b = x[:, i].astype(np.float64), y[:, i].astype(np.float64)
+        xy, xx, yy = xy + a * b, xx + a * a, yy + b * b
+    return xy / (np.sqrt(xx) * np.sqrt(yy))
+
+
+def _candidates(ids: np.ndarray, unit: np.ndarray, q_ids: np.ndarray, q_unit: np.ndarray, k: int):
+    """(query, row) whose products are within twice their error and a rounding of the query's kth."""
+    slack = 4 * (unit.shape[1] + 8) * 2.0**-24 + 3e-6
+    best = np.full((len(q_ids), k), -4, np.float32)
+    out = []
+    for at in range(0, len(ids), TILE):
+        part = ids[at : at + TILE]
+        s = q_unit @ unit[at : at + TILE].T
+        by = np.argsort(part, kind="stable")
+        lo, hi = (np.searchsorted(part[by], q_ids, side) for side in ("left", "right"))
+        for i in np.flatnonzero(hi > lo):
+            s[i, by[lo[i] : hi[i]]] = -9
+        if not at and len(part) >= k:
+            best = np.partition(s, -k, axis=1)[:, -k:].clip(-4)
+        floor = np.maximum(best.min(axis=1) - slack, -2).astype(np.float32)
+        q, r = np.divmod(np.flatnonzero((s >= floor[:, None]).ravel()), len(part))
+        value = s[q, r]
+        out.append((q, r + at, value))
+        if at or len(part) < k:
+            # the k largest of those so far and of this tile
+            rows, values = np.concatenate([np.repeat(np.arange(len(q_ids)), k), q]), np.concatenate([best.ravel(), value])
+            order = np.lexsort((-values, rows))
+            heads = np.searchsorted(rows[order], np.arange(len(q_ids)))
+            best = values[order[heads[:, None] + np.arange(k)]]
+    q, r, value = (np.concatenate(c) for c in zip(*out, strict=True))
+    near = value >= best.min(axis=1)[q] - slack
+    return q[near], r[near]
+
+
+def _first_others(ids: np.ndarray, q_ids: np.ndarray, k: int):
+    """(query, row) of the k smallest ids that are not the query's own."""
+    if not len(ids) or not len(q_ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(ids, kind="stable")
+    lo, hi = (np.searchsorted(ids[order], q_ids, side) for side in ("left", "right"))
+    place = np.arange(k)[None, :]
+    place = place + np.where(place >= lo[:, None], (hi - lo)[:, None], 0)
+    ok = place < len(ids)
+    return np.nonzero(ok)[0], order[place[ok]]
+
+
+def _nearest(ids: np.ndarray, dims: np.ndarray, rows: dict, q_ids: np.ndarray, q_dims: np.ndarray, q_rows: dict, k: int):
+    """(query id, row id, cosine, whether it is null) among which each query's k nearest of these rows are.
+
+    rows, q_rows: matrices by dimension, in the order of the ids that have it. A null cosine comes last, NaN first.
+    """
+    for d in np.unique(q_dims).tolist():
+        mine, same = q_ids[q_dims == d], (dims == d) & (d > 0)
+        others = ids[~same]
+        q, r = _first_others(others, mine, k)
+        yield mine[q], others[r], np.full(len(q), np.nan), np.ones(len(q), bool)
+        if not same.any():
+            continue
+        here, x, asked = ids[same], rows[d], q_rows[d]
+        unit, sound = _unit(x)
+        even = np.flatnonzero(sound)
+        even = even[_few_of_each(here[even], x[even], k + 1)] if len(even) else even
+        odd, own, unit, x = here[~sound], here[even], unit[even], x[even]
+        for a in range(0, len(mine), ASKED):
+            name, vector = mine[a : a + ASKED], asked[a : a + ASKED]
+            turned, normed = _unit(vector)
+            for who, among in ((name[normed], odd), (name[~normed], here)):
+                q, r = _first_others(among, who, k)
+                yield who[q], among[r], np.full(len(q), np.nan), np.zeros(len(q), bool)
+            if normed.any() and len(own):
+                q, r = _candidates(own, unit, name[normed], turned[normed], k)
+                yield name[normed][q], own[r], _cosines(vector[normed][q], x[r]), np.zeros(len(q), bool)
+
+
+def _nearest_in(k: int):
+    def vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, dict]:
+        dims = t["dims"].to_numpy()
+        return t["id"].to_numpy(), dims, {d: pc.list_flatten(t["v"].filter(pa.array(dims == d))).to_numpy().reshape(-1, d) for d in np.unique(dims).tolist() if d > 0}
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        held = pa.Table.from_batches(batches)
+        batches.clear()
+        for task in np.unique(held["task"].to_numpy()).tolist():
+            t = held.filter(pc.equal(held["task"], task))
+            for q, r, cosine, null in _nearest(*vectors(t.filter(pc.invert(t["asks"]))), *vectors(t.filter(t["asks"])), k):
+                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(r, pa.int64()), pa.array(cosine, pa.float64(), mask=null)], names=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
+def nearest_by_cosine(vectors: DataFrame, id_col: str, vector_col: str, *, k: int = 5, every: int = 20, shard_rows: int = 1 << 17) -> DataFrame:
+    """query_id, vec_id, cosine (to six places), place: the k nearest of every row whose id is divisible by ``every``, ties by the smaller id.
+
+    Rows are dealt into shards and queries sent to each. A task multiplies blocks of queries with tiles of its shard in single precision, keeps what
+    is within the error of a query's kth product, and sums those up in double precision; of a repeated vector the k + 1 smallest ids
+    stand for all. All pairs are compared, which is quadratic; a task holds one shard and at most about ``MOST_QUERIES`` queries.
+    A cosine is null for a null vector or element and for unlike dimensions, and then comes last; it is NaN for a zero vector or one with NaN or infinity,
+    and comes first, as in SQL. Rows without an id take no part; repeated ids are distinct rows that don't answer each other.
+    """
+    v = F.col(vector_col)
+    kind = vectors.schema[id_col].dataType
+    e = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), -1).otherwise(F.size(v)).alias("dims"), v.alias("v"))
+    asks = F.col("id") % every == 0
+    n, n_queries = e.agg(F.count(F.lit(1)), F.count(F.when(asks, 1))).first()
+    shards = max(1, -(-n // shard_rows), min(16, -(-n * n_queries // SHARD_PAIRS)))
+    parts = max(1, -(-n_queries // MOST_QUERIES))
+    shard, part = (F.pmod(F.xxhash64(F.lit(what), "id"), F.lit(m)).cast("int") for what, m in (("shard", shards), ("part", parts)))
+    to_shard = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct((shard * parts + i).alias("task"), F.lit(False).alias("asks")))
+    to_part = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.struct((i * parts + part).alias("task"), F.lit(True).alias("asks")))
+    dealt = e.select("id", "dims", "v", F.inline(F.when(asks, F.concat(to_shard, to_part)).otherwise(to_shard)))
+    near = dealt.repartitionById(shards * parts, "task").mapInArrow(_nearest_in(k), "query_id long, vec_id long, cosine double")
+    near = near.withColumn("cosine", F.round("cosine", 6))
+    best = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
+    placed = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return placed.select(F.col("query_id").cast(kind).alias("query_id"), F.col("vec_id").cast(kind).alias("vec_id"), "cosine", "place")

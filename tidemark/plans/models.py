@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import valuation as v
 from tidemark.operators import crosssection as cs
 from tidemark.operators import series
-from tidemark.operators.pairs import co_members
+from tidemark.operators.pairs import co_members, nearest_by_cosine
 from tidemark.plans.panel import MID, WEEKLY_SQL
 from tidemark.sources.tables import load, prices
 
@@ -179,14 +179,8 @@ HERFINDAHL_SQL = "with q as (select year(o_orderdate) y, c_mktsegment, sum(o_tot
 
 
 def neighbours(spark, d):
-    """Top 5 by cosine of every vector whose id is divisible by 20, against all vectors: a stated query set, broadcast while small."""
-    e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
-    e = e.withColumn("n", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    near = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("cosine", F.round(dot(F.col("e"), F.col("qe")) / (F.col("n") * F.col("qn")), 6))
-    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return near.withColumn("place", F.row_number().over(w)).where("place <= 5").select("query_id", "vec_id", "cosine", "place")
+    """Top 5 by cosine of every vector whose id is divisible by 20, against all vectors: a stated query set."""
+    return nearest_by_cosine(load(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 NEIGHBOUR_SQL = "with e as (select vec_id, embedding::double[] e from embeddings), n as (select q.vec_id query_id, x.vec_id, round(list_cosine_similarity(q.e, x.e),6) cosine from e q join e x on q.vec_id<>x.vec_id where q.vec_id%20=0), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) place from n) select query_id, vec_id, cosine, place::int place from r where place<=5"
