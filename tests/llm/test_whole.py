@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import hamming_topk, mixing, packing
+from tidemark.llm import exchange, hamming_topk, mixing, packing, repeats, suffix_dedup
 from tidemark.llm.license_scan import license_detections, rules
 
 
@@ -136,3 +136,27 @@ def test_top_k_deals_queries_to_many_tasks(spark, monkeypatch):
         d = ((e > 0) != (e[q] > 0)).sum(axis=1)
         want |= {(q, int(j), int(d[j]), k + 1) for k, j in enumerate([j for j in np.lexsort((np.arange(600), d)) if j != q][:10])}
     assert got == want and hamming_topk._parts(600, 30) > 1
+
+
+def test_unique_keys_do_not_fill_the_bitmap(spark, monkeypatch):
+    """Far more unique keys than bits: those that occur twice all pass, and few others do."""
+    monkeypatch.setattr(repeats, "MOST_BITS", 14)
+    r = np.random.default_rng(21)
+    keys = r.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    again = keys[:1000]
+    ranges = repeats.ranges_for(201_000)
+    rows = [x for lot, part in enumerate((keys, again)) for x in repeats.key_rows(part, ranges, lot)]
+    bitmap = repeats.repeated_keys(spark.createDataFrame(rows, exchange.SCHEMA), 201_000, ranges)
+    assert bitmap.size * 8 <= 1 << 14
+    passed = repeats.maybe_repeated(keys, bitmap, ranges)
+    assert passed[:1000].all() and passed[1000:].mean() < 0.1
+
+
+def test_byte_runs_of_squeezed_texts(spark):
+    """The join in which texts travel compressed gives what the broadcast one does."""
+    r = np.random.default_rng(22)
+    texts = ["".join(r.choice(list("abcdefgh é"), 300)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "x" * i + t[40:200] + "ü") for i, t in enumerate(texts)] + [(500, None), (None, texts[0]), (501, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near, far = (sorted(map(str, suffix_dedup.drop_repeated_bytes(df, most_broadcast=m).collect())) for m in (16 << 20, 0))
+    assert near == far and not all("n_removed=0" in x for x in near)

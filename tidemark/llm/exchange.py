@@ -50,6 +50,26 @@ def unpack(load: bytes) -> list[np.ndarray]:
     return arrays
 
 
+def squeezed(load: bytes) -> bytes:
+    """Shorter by zstd, behind its length; shuffles alone compress text by a third at most."""
+    return struct.pack("<Q", len(load)) + pa.compress(load, codec="zstd", asbytes=True)
+
+
+def unsqueezed(load: bytes) -> bytes:
+    return pa.decompress(memoryview(load)[8:], decompressed_size=struct.unpack_from("<Q", load)[0], codec="zstd", asbytes=True)
+
+
+def text_of(text: pa.Scalar) -> bytes:
+    """A text's bytes, whether it is a string or has travelled squeezed."""
+    return text.as_py().encode() if pa.types.is_string(text.type) else unsqueezed(text.as_py())
+
+
+def _squeezed_texts(batches):
+    for b in batches:
+        small = pa.array([squeezed(t.as_py().encode()) for t in b.column("text")], pa.binary())
+        yield pa.record_batch([b.column("doc_id"), b.column("print"), small], names=["doc_id", "print", "text"])
+
+
 def planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Low and high halves of numbers below 2**32; the high ones are mostly zero and compress away."""
     x = x.astype(np.uint32)
@@ -169,12 +189,14 @@ def covered_runs(answers: DataFrame, size: int) -> DataFrame:
     return answers.groupBy("lot").applyInArrow(_runs_by_lot(size), RUNS).dropDuplicates(["doc_id", "print"])
 
 
-def with_runs(documents: DataFrame, runs: DataFrame, most_broadcast: int) -> DataFrame:
-    """Documents beside their runs. Runs go to every task only when they are proven to be few."""
+def with_runs(documents: DataFrame, runs: DataFrame, most_broadcast: int, squeeze: bool = False) -> DataFrame:
+    """Documents beside their runs. Runs go to every task only when they are proven to be few; else texts travel, as zstd bytes with squeeze."""
     n = runs.agg(F.sum(F.size("runs") + 4)).first()[0] or 0
-    right = runs.withColumnRenamed("doc_id", "_doc")
-    right = F.broadcast(right) if 8 * n <= most_broadcast else right
+    right = runs.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "runs")
+    few = 8 * n <= most_broadcast
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    left = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    joined = left.join(right, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("print")), "left")
+    left = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    if squeeze and not few:
+        left = left.mapInArrow(_squeezed_texts, "doc_id long, print long, text binary")
+    joined = left.join(F.broadcast(right) if few else right, (F.col("doc_id") == F.col("_doc")) & (F.col("print") == F.col("_print")), "left")
     return joined.select("doc_id", "text", "runs")

@@ -5,8 +5,8 @@ Every string of that size has a leftmost least hash among its ``GRAM``-byte part
 depends on nothing but the string; consecutive strings with one anchor form a segment. Equal strings
 have equal anchors, so
 
-1. a count-min sketch of all anchors (see ``countmin``) tells which may occur twice; segments with a
-   unique anchor hold no repeat and go no further;
+1. all anchors are counted by their owners (see ``repeats``), and a bitmap of those that occur twice goes to
+   every task; segments with a unique anchor hold no repeat and go no further;
 2. other segments go to the owner of their anchor's hash, equal ones of a lot only once, the later
    documents' being settled there;
 3. an owner joins its unequal segments to one text, sorts its suffixes by induction, computes the
@@ -14,7 +14,7 @@ have equal anchors, so
    smallest document (see ``suffix_array``). What it finds goes back by lots as covered runs.
 
 Scale: texts are scanned and never shuffled while the runs fit ``most_broadcast`` bytes; beyond it
-they meet the texts in a sort-merge join. The sketch's size is fixed, an owner's text is bounded by
+they meet the texts, which travel compressed, in a sort-merge join. The bitmap's size is bounded, an owner's text is bounded by
 the number of owners, and copies of one passage cost an owner one short entry a lot.
 
 Defined results: null and empty texts are empty; documents without an id keep everything and take
@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm import countmin
 from tidemark.llm import exchange as x
-from tidemark.llm import store
+from tidemark.llm import repeats, store
 from tidemark.llm.repeated_windows import settle
 from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
 from tidemark.llm.text import BLOCK, GOLDEN, U, Block, blocks, mix, powers, window_hashes, window_owner
@@ -70,7 +69,7 @@ def segments(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return grams[anchor[first]], at[first], np.diff(np.append(first, len(at))), owner[first]
 
 
-def _sketch(size: int, bits: int, shards: int):
+def _named(size: int, ranges: int):
     def run(batches):
         held, n, lot = [], 0, 0
         for batch in batches:
@@ -78,10 +77,10 @@ def _sketch(size: int, bits: int, shards: int):
                 held.append(segments(block, size)[0])
                 n += len(held[-1])
                 if n >= x.LOT_ITEMS:
-                    yield x.batch(countmin.partial_rows(np.concatenate(held), bits, shards, lot))
+                    yield x.batch(repeats.key_rows(np.concatenate(held), ranges, lot))
                     held, n, lot = [], 0, lot + 1
         if n:
-            yield x.batch(countmin.partial_rows(np.concatenate(held), bits, shards, lot))
+            yield x.batch(repeats.key_rows(np.concatenate(held), ranges, lot))
 
     return run
 
@@ -133,11 +132,11 @@ def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs,
         there, which = np.unique(docs[part], return_inverse=True)
         n = np.bincount(which).astype(np.uint32)
         body = cut(data, begins[part], lengths[part])
-        rows.append((o, lot, x.ITEMS, x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), body)))
+        rows.append((o, lot, x.ITEMS, x.squeezed(x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), body))))
     return rows
 
 
-def _asks(size: int, owners: int, bits: int, maps):
+def _asks(size: int, owners: int, ranges: int, bitmap):
     def run(batches):
         doc_ids, prints, held, n, first, number = [], [], [], 0, 0, 0
 
@@ -150,7 +149,7 @@ def _asks(size: int, owners: int, bits: int, maps):
             prints.append(batch.column("print").to_numpy())
             for block in blocks(batch.column("text")):
                 keys, at, count, owner = segments(block, size)
-                may = np.flatnonzero(countmin.maybe_repeated(keys, maps.value, bits))
+                may = np.flatnonzero(repeats.maybe_repeated(keys, bitmap.value, ranges))
                 if len(may):
                     keys, at, count, owner = keys[may], at[may], count[may], owner[may]
                     body = cut(block.data, at, count + size - 1)
@@ -220,7 +219,7 @@ def _shard(size: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     held = []
     for lot, kind, load in rows:
         if kind == x.ITEMS:
-            d0, d1, did, n0, n1, s0, s1, counts, body = x.unpack(load)
+            d0, d1, did, n0, n1, s0, s1, counts, body = x.unpack(x.unsqueezed(load))
             n = x.joined(n0, n1)
             held.append((np.full(len(counts), lot, np.int64), np.repeat(np.cumsum(x.joined(d0, d1)), n), np.repeat(np.cumsum(did), n), x.joined(s0, s1), counts.astype(np.int64), body))
     rows.clear()
@@ -247,7 +246,7 @@ def _result(batches):
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
-            body = kept = text.as_py().encode()
+            body = kept = x.text_of(text)
             spans = spans or []
             if spans:
                 edges = [0, *spans, len(body)]
@@ -263,12 +262,11 @@ def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int =
     spark = documents.sparkSession
     n_bytes = x.text_bytes(documents)
     texts = x.texts(documents)
-    bits = countmin.width_bits(n_bytes // 16)
-    shards = 1 << min(6, max(0, bits - 18))
-    parts = texts.select("text").mapInArrow(_sketch(size, bits, shards), x.SCHEMA)
-    maps = spark.sparkContext.broadcast(countmin.repeated_cells(parts, bits, shards))
+    ranges = repeats.ranges_for(n_bytes // 16)
+    parts = texts.select("text").mapInArrow(_named(size, ranges), x.SCHEMA)
+    bitmap = spark.sparkContext.broadcast(repeats.repeated_keys(parts, n_bytes // 16, ranges))
     owners = x.owners_for(n_bytes, owner_bytes)
-    asks = texts.mapInArrow(_asks(size, owners, bits, maps), x.SCHEMA)
+    asks = texts.mapInArrow(_asks(size, owners, ranges, bitmap), x.SCHEMA)
     answers = x.deal(asks, owners).mapInArrow(_answers(size), x.SCHEMA)
     return store.save(x.covered_runs(answers, size), "byte-runs")
 
@@ -278,4 +276,4 @@ def drop_repeated_bytes(documents: DataFrame, *, size: int = 50, most_broadcast:
     if size < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes are compared")
     runs = repeated_byte_runs(documents, size)
-    return x.with_runs(documents, runs, most_broadcast).mapInArrow(_result, RESULT)
+    return x.with_runs(documents, runs, most_broadcast, squeeze=True).mapInArrow(_result, RESULT)
