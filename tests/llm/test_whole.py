@@ -7,11 +7,12 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import exchange, hamming_topk, mixing, packing, repeats, suffix_dedup
+from tidemark.llm import exchange, hamming_topk, mixing, packing, parity_join, repeats, store, suffix_dedup
 from tidemark.llm.license_scan import license_detections, rules
 
 
@@ -160,3 +161,46 @@ def test_byte_runs_of_squeezed_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     near, far = (sorted(map(str, suffix_dedup.drop_repeated_bytes(df, most_broadcast=m).collect())) for m in (16 << 20, 0))
     assert near == far and not all("n_removed=0" in x for x in near)
+
+
+def test_a_scan_of_large_batches_holds_lots_of_bounded_size(monkeypatch):
+    """One batch of some 900,000 keys leaves in lots of about LOT_KEYS, whatever the batch's size."""
+    monkeypatch.setattr(exchange, "lot_id", lambda number: number)
+    texts = [" ".join(f"{i}.{k}" for k in range(3000)) for i in range(900)]
+    batch = pa.record_batch([pa.array(range(900), pa.int64()), pa.array(range(900), pa.int64()), pa.array(texts)], names=["doc_id", "print", "text"])
+    lots, docs = Counter(), []
+    for out in parity_join._scan(5, 75, 4)([batch]):
+        for lot, kind, load in zip(out["lot"].to_pylist(), out["kind"].to_pylist(), out["load"].to_pylist(), strict=True):
+            if kind == exchange.ITEMS:
+                lots[lot] += len(exchange.unpack(load)[3])
+            else:
+                docs += exchange.unpack(load)[0].tolist()
+    assert docs == list(range(900)) and sum(lots.values()) > 2 * parity_join.LOT_KEYS
+    assert max(lots.values()) < parity_join.LOT_KEYS + exchange.LOT_ITEMS // 20
+
+
+def test_keys_looked_at_in_ranges_are_all_the_shared_ones(monkeypatch):
+    rng = np.random.default_rng(7)
+    loads, pairs = [], set()
+    for _ in range(5):
+        node, counts = rng.permutation(60)[:40], rng.integers(1, 30, 40)
+        key = rng.choice(np.array([k << 36 | k for k in range(1, 1200)], np.uint64), counts.sum())
+        pairs |= set(zip(key.tolist(), np.repeat(node, counts).tolist(), strict=True))
+        loads.append(exchange.pack(node.astype(np.int64), counts.astype(np.uint16), (key >> np.uint64(32)).astype(np.uint16), key.astype(np.uint32)))
+    n = Counter(k for k, _ in pairs)
+    for most in (1 << 18, 100, 7):
+        monkeypatch.setattr(parity_join, "LOT_KEYS", most)
+        node, key = parity_join._shared_keys(loads)
+        assert list(zip(key.tolist(), node.tolist(), strict=True)) == sorted((k, d) for k, d in pairs if n[k] > 1)
+    assert len(parity_join._shared_keys(loads[:0])[0]) == 0
+
+
+def test_saved_functions_get_small_batches_and_the_setting_returns(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    before = spark.conf.get(store.BATCH_SETTING, None)
+    saved = store.save(rows.mapInArrow(sizes, "n long"), "sizes", 1 << 18)
+    assert max(r["n"] for r in saved.collect()) < 300_000 and spark.conf.get(store.BATCH_SETTING, None) == before

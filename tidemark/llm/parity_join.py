@@ -19,7 +19,7 @@ named, and rounds end when no node has more partners than it was allowed to name
 is compared in blocks of ``CHUNK`` rows and columns, each a task's group of its own. Verification compares
 whole sets and is exact up to 48-bit token hashes.
 
-Scale: texts are scanned twice. Segments travel packed (see ``exchange``); the second scan computes
+Scale: texts are scanned twice, in batches and lots of a few megabytes, so a worker needs little beside its executor's heap. Segments travel packed (see ``exchange``); the second scan computes
 sets only of documents in candidate pairs and sends a member's set to its hub, hot hubs salted; so does
 the scan of each round. Texts are not shuffled while the list of those documents fits ``most_broadcast`` bytes (checked), else
 they meet it in a sort-merge join. The segments kept leave room of nine standard deviations and
@@ -55,6 +55,8 @@ DOC, HUB = 0, 1
 ROW, COLUMN, BOTH = 0, 1, 2
 #: Rows of blocks taken together, pairs looked at together, and bytes of sketches compared at a time.
 LOT, PAIRS, COMPARED = 20_000, 1 << 16, 4 << 20
+#: Keys of a lot of the scan, and of an owner looked at together, about; bytes of a batch that a worker gets.
+LOT_KEYS, BATCH_BYTES = 1 << 18, 2 << 20
 
 
 def shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,23 +169,24 @@ def _scan(size: int, percent: int, owners: int):
             return x.batch(out)
 
         for batch in batches:
-            docs.append(batch.column("doc_id").to_numpy())
-            prints.append(batch.column("print").to_numpy())
+            doc, print_ = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
             for block in blocks(batch.column("text")):
+                docs.append(doc[block.rows])
+                prints.append(print_[block.rows])
                 owner, token = shingles(block, size)
                 count = np.bincount(owner, minlength=len(block.rows))
                 nodes.append(_prints(owner, token, count))
                 sizes.append(count)
                 sketches.append(parity_bits(owner, token, count))
                 o, k = segment_keys(owner, token, count, percent)
-                key_doc.append(block.rows[o] + first)
+                key_doc.append(o + first)
                 keys.append(k)
                 n += len(k)
-            first += batch.num_rows
-            if n >= x.LOT_ITEMS:
-                yield rows()
-                docs, prints, nodes, sizes, sketches, key_doc, keys = [], [], [], [], [], [], []
-                n, first, number = 0, 0, number + 1
+                first += len(block.rows)
+                if n >= LOT_KEYS:
+                    yield rows()
+                    docs, prints, nodes, sizes, sketches, key_doc, keys = [], [], [], [], [], [], []
+                    n, first, number = 0, 0, number + 1
         if docs:
             yield rows()
 
@@ -202,31 +205,45 @@ def _document_rows(load: bytes) -> pa.RecordBatch:
     return _found({"kind": [DOC] * len(doc), "doc_id": doc, "print": print_, "node": node, "n": n, "sketch": [sketch[i:j] for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)]})
 
 
+def _shared_keys(loads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, key) of the keys that two nodes or more have, by key, then node.
+
+    Keys are looked at in ranges of about ``LOT_KEYS`` items; most of them are one node's and go with their range.
+    """
+    parts = [x.unpack(load) for load in loads]
+    ranges = min(1 << 16, -(-sum(len(low) for _, _, _, low in parts) // LOT_KEYS))
+    out_node, out_key = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for r in range(ranges):
+        nodes, keys = [], []
+        for node, counts, high, low in parts:
+            mine = np.flatnonzero(high.astype(np.int64) * ranges >> 16 == r)
+            nodes.append(np.repeat(node, counts)[mine])
+            keys.append((high[mine].astype(U) << U(32)) | low[mine].astype(U))
+        node, key = np.concatenate(nodes), np.concatenate(keys)
+        order = np.lexsort((node, key))
+        node, key = node[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        node, key = node[new], key[new]
+        shared = np.zeros(len(key), bool)
+        shared[1:] = key[1:] == key[:-1]
+        shared[:-1] |= shared[1:]
+        out_node.append(node[shared])
+        out_key.append(key[shared])
+    return np.concatenate(out_node), np.concatenate(out_key)
+
+
 def _bucket_rows(loads: list[bytes]):
     """Of every bucket of two nodes or more, its hub (the smallest) with the other members.
 
     Rows of a hub: all its members, in parts of at most about ``CHUNK``, and packed the buckets of three nodes
     or more, as (name, members) parts; a bucket is named by its nodes, so owners that found the same one agree.
     """
-    nodes, keys = [], []
-    for load in loads:
-        node, counts, high, low = x.unpack(load)
-        nodes.append(np.repeat(node, counts))
-        keys.append((high.astype(U) << U(32)) | low.astype(U))
-    node, key = np.concatenate(nodes), np.concatenate(keys)
-    order = np.lexsort((node, key))
-    node, key = node[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    node, key = node[new], key[new]
+    node, key = _shared_keys(loads)
+    if not len(key):
+        return
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(np.append(starts, len(key)))
-    shared = counts > 1
-    keep = np.repeat(shared, counts)
-    node, counts = node[keep], counts[shared]
-    if not len(counts):
-        return
-    starts = np.cumsum(counts) - counts
     # buckets of the same nodes are one
     total = np.zeros(len(node) + 1, U)
     np.cumsum(mix(node.view(U)), out=total[1:])
@@ -354,7 +371,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and bit sketches don't rule a link out; the sketches' distance never exceeds the sets'."""
     side = lambda p: reps.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return store.save(wide.mapInArrow(_near(percent), "a long, b long"), "plausible")
+    return store.save(wide.mapInArrow(_near(percent), "a long, b long"), "plausible", BATCH_BYTES)
 
 
 def _verified(documents: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int, most_broadcast: int, per_salt: int = 2000) -> DataFrame:
@@ -369,7 +386,7 @@ def _verified(documents: DataFrame, reps: DataFrame, pairs: DataFrame, size: int
     chosen = x.texts(documents).join(right, (F.col("doc_id") == F.col("_doc")) & (F.col("print") == F.col("_print"))).select("node", "routes", "text")
     sets = chosen.mapInArrow(_sets(size), "hub long, salt int, member int, node long, load binary")
     dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return store.save(dealt.mapInArrow(_linked(percent), "a long, b long").distinct(), "linked")
+    return store.save(dealt.mapInArrow(_linked(percent), "a long, b long").distinct(), "linked", BATCH_BYTES)
 
 
 def _largest(group: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -537,7 +554,7 @@ def near_duplicate_groups(documents: DataFrame, *, size: int = 5, percent: int =
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with), node."""
     owners = x.owners_for(x.text_bytes(documents), owner_bytes)
     scanned = x.texts(documents).mapInArrow(_scan(size, percent, owners), x.SCHEMA)
-    found = store.save(x.deal(scanned, owners).mapInArrow(_buckets, FOUND), "buckets")
+    found = store.save(x.deal(scanned, owners).mapInArrow(_buckets, FOUND), "buckets", BATCH_BYTES)
     docs = found.where(F.col("kind") == DOC)
     reps = store.save(docs.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     hubs = found.where(F.col("kind") == HUB)
@@ -547,10 +564,10 @@ def near_duplicate_groups(documents: DataFrame, *, size: int = 5, percent: int =
     failed = first.join(linked, ["a", "b"], "left_anti")
     # buckets whose hub has a failed pair may hold links between other nodes
     again = hubs.where("load is not null").join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    members = store.save(again.select("node", "load").mapInArrow(_unpacked, "bucket long, member long").distinct(), "members")
+    members = store.save(again.select("node", "load").mapInArrow(_unpacked, "bucket long, member long").distinct(), "members", BATCH_BYTES)
     tried, most, live = first, 8, None
     while True:
-        named = store.save(_open_blocks(members, roots, reps, live).mapInArrow(_nearest(percent, most), "a long, b long, apart int, cut boolean"), "named")
+        named = store.save(_open_blocks(members, roots, reps, live).mapInArrow(_nearest(percent, most), "a long, b long, apart int, cut boolean"), "named", BATCH_BYTES)
         pairs = named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = store.save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return a reader of what was written."""
+@contextmanager
+def _batches_of(spark: SparkSession, most: int | None):
+    before = spark.conf.get(BATCH_SETTING, None)
+    if most is not None:
+        spark.conf.set(BATCH_SETTING, str(most))
+    try:
+        yield
+    finally:
+        if most is not None and before is None:
+            spark.conf.unset(BATCH_SETTING)
+        elif most is not None:
+            spark.conf.set(BATCH_SETTING, before)
+
+
+def save(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and return a reader of what was written.
+
+    batch_bytes: about how much the Arrow functions in df get at a time, or one longer row. By default
+    batches have ten thousand rows, which for texts are tens of megabytes on both sides of the worker's pipe.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _batches_of(spark, batch_bytes):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
