@@ -204,3 +204,44 @@ def test_saved_functions_get_small_batches_and_the_setting_returns(spark):
     before = spark.conf.get(store.BATCH_SETTING, None)
     saved = store.save(rows.mapInArrow(sizes, "n long"), "sizes", 1 << 18)
     assert max(r["n"] for r in saved.collect()) < 300_000 and spark.conf.get(store.BATCH_SETTING, None) == before
+
+
+def test_plain_chunks_pass_by_the_whole_tokenizer(monkeypatch):
+    """Runs of letters, digits and punctuation are encoded by the model alone, with the public tokenizer's ids."""
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    public, calls = tokenizers.Tokenizer.from_file(path), []
+
+    class Counted:
+        from_file = classmethod(lambda cls, path: cls())
+
+        def __getattr__(self, name):
+            return getattr(public, name)
+
+        def encode(self, text, **how):
+            calls.append(text)
+            return public.encode(text, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encoder = packing.TokenEncoder(path)
+    rng = np.random.default_rng(8)
+    ids = lambda text: np.frombuffer(encoder([text])[0], "<u4").tolist()
+    for i in range(300):
+        text = " ".join(f"Wört{k}er{i},\nÜber-all_{k}... (no.{i * k})***" for k in rng.integers(0, 10**6, 5))
+        assert ids(text) == public.encode(text, add_special_tokens=False).ids
+    assert not calls
+    every = [chr(c) for c in range(1, 400)] + [" ", "  ", "\n", "\n\n", "'ll", "|", "<|endoftext|>", "\u0301", "\u2003", "ab", "12"] * 20
+    for _ in range(3000):
+        text = "".join(rng.choice(every, rng.integers(0, 30)))
+        assert ids(text) == public.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_that_come_again_outlive_many_that_come_once():
+    asked = []
+    memo = packing._Memo(lambda text: asked.append(text) or text.encode(), 100)
+    for i in range(5000):
+        assert memo["often"] == b"often" and memo[f"once{i}"] == f"once{i}".encode()
+        assert len(memo) + len(memo.older) <= 200
+    assert asked.count("often") == 1

@@ -35,50 +35,103 @@ from pyspark.sql import functions as F
 from tidemark.llm import store
 
 SEPARATOR = b"\0\0\0\0"
-#: Chunks kept with their ids in each worker process; beyond it the memo starts anew.
-MEMO_LIMIT = 300_000
-LOT_BYTES = 1 << 20
-#: A space that touches other white space, and one that doesn't; white space in its widest sense.
-_ODD_SPACE = re.compile(r" \s|\s ")
+#: Texts' first chunks, later ones, and runs in a generation of a worker's memos.
+FIRST_LIMIT, CHUNKS_LIMIT, RUNS_LIMIT = 10_000, 400_000, 300_000
+#: Bytes of texts encoded together, and of a batch that a worker gets.
+LOT_BYTES, BATCH_BYTES = 1 << 20, 2 << 20
+#: A space that doesn't touch other white space, in its widest sense.
 _LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
+#: Characters whose class in the splitting pattern is sure: ASCII but the apostrophe, which begins contractions, and the
+#: bar of special tokens, and the letters of Latin-1 from 192 on. A chunk's lines end one by one in its middle.
+_RUNS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{}~]+|\n(?!\s)")
+PLAIN = frozenset(c for c in map(chr, range(256)) if _RUNS.fullmatch(c)) | {" "}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class _Memo(dict):
-    """Text chunk -> its ids as little-endian unsigned 32-bit bytes."""
+    """Text -> its ids as little-endian unsigned 32-bit bytes; encode is asked for those not kept.
 
-    def __init__(self, encode, lead: str):
+    Of two generations the older one goes when the newer is full, so texts that come again stay while
+    those that come once pass through.
+    """
+
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        ids = array("I", self.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= 40:
-            self[chunk] = ids
+        self.encode, self.limit, self.older = encode, limit, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.encode(text)
+        if len(text) <= 40:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
         return ids
 
 
+class _OddSpaceError(Exception):
+    """A text's spaces are not all lone ones."""
+
+
 class TokenEncoder:
     """Ids of whole texts under a public byte-level BPE vocabulary, as its tokenizer gives them.
 
     The vocabulary's splitting pattern lets white space only begin a piece, and its special tokens hold
     none, so a single space between two other characters always starts a piece. Texts are cut there, and
-    a worker encodes each chunk once.
+    a worker encodes a chunk once while it is kept; a chunk that is empty or ends in white space shows that
+    some of its text's spaces were not single. A chunk of ``PLAIN`` characters alone is cut on, as the pattern
+    does, into runs of letters, digits and punctuation, and the tokenizer's model gets each run once in the form
+    that its pre-tokenizer gives it; any other chunk goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(path).encode
-        self.first, self.rest = _Memo(encode, ""), _Memo(encode, " ")
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        pre = tokenizer.pre_tokenizer
+        self.cuts = (
+            tokenizer.normalizer is None
+            and isinstance(pre, ByteLevel)
+            and pre.use_regex
+            and not pre.add_prefix_space
+            and not any(PLAIN.issuperset(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+        )
+        self.forms = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in PLAIN} if self.cuts else {}
+        self.runs = _Memo(self._run, RUNS_LIMIT)
+        self.first, self.rest = _Memo(self._first_chunk, FIRST_LIMIT), _Memo(self._later_chunk, CHUNKS_LIMIT)
+
+    def _run(self, run: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(run.translate(self.forms))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        runs = _RUNS.findall(chunk) if self.cuts else ()
+        if "".join(runs) != chunk:
+            return array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.runs.__getitem__, runs))
+
+    def _first_chunk(self, chunk: str) -> bytes:
+        if chunk != chunk.rstrip():
+            raise _OddSpaceError
+        return self._chunk(chunk)
+
+    def _later_chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _OddSpaceError
+        return self._chunk(" " + chunk)
 
     def _ids(self, text: str) -> bytes:
-        head, *tail = _LONE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        head, *tail = text.split(" ")
+        try:
+            return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        except _OddSpaceError:
+            head, *tail = _LONE_SPACE.split(text)
+            return self._chunk(head) + b"".join([self.rest[c] if c and c == c.strip() else self._chunk(" " + c) for c in tail])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [self._ids(t) for t in texts]
@@ -202,7 +255,7 @@ def best_fit_pack(
     if rule not in ("norm", "dot"):
         raise ValueError("rule is 'norm' or 'dot'")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(position).cast("long").alias("position")] if position else []))
-    pieces = store.save(texts.mapInArrow(_tokenise(vocabulary, size), PIECES + (", position long" if position else "")), "pieces")
+    pieces = store.save(texts.mapInArrow(_tokenise(vocabulary, size), PIECES + (", position long" if position else "")), "pieces", BATCH_BYTES)
     if position:
         n, low, high = pieces.agg(F.count(F.lit(1)), F.min("position"), F.max("position")).first()
         shards = max(1, -(-n // shard_items))
