@@ -2,15 +2,16 @@
 
 A text is reduced to its words (runs of letters, digits and non-ASCII characters, A-Z lower-cased) with
 one space between them. Rules are regular expressions over that string, each with a label, a
-priority and a keyword. A text without any keyword is done after the keyword search; the others try
-only the rules whose keyword they hold. A detection is dropped when a detection of the same or a higher
-priority, ahead of it in rule order for equal spans, contains its interval.
+priority and a keyword. Each rule has an anchor, a word that all its matches have (or else its keyword, looked
+for as a string): the set of a text's words is met with all anchors at once, and a text without any is done.
+The others try only the rules whose anchor and whose fixed parts they hold. A detection is dropped when a
+detection of the same or a higher priority, ahead of it in rule order for equal spans, contains its interval.
 
 Three plain phrases are counted beside the rules, wherever their words stand consecutively, and their
 labels always stay.
 
 Scale: one narrow scan; nothing is shuffled and no row leaves its task. Work is linear in the text
-for the words and the keyword search. Running sums and maxima over n detections are made in chunks
+for the words and the anchors, and for each rule tried. Running sums and maxima over n detections are made in chunks
 (see ``_scanned``), about n * ``CHUNK`` steps, so a very long text full of notices costs in proportion.
 
 Defined results: null and empty texts have no words, no places and score 0; a null doc_id is kept;
@@ -20,6 +21,7 @@ are carried when named in ``carry``, and the result's own names win over clashin
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -205,10 +207,45 @@ def rules() -> list[tuple[int, str, str, int, float, str]]:
     return out
 
 
+def _parts(pattern: str) -> list[str]:
+    """What stands in every match of a pattern as it is, in order: the strings between groups, classes and optional characters."""
+    while "(?:" in pattern:
+        pattern = re.sub(r"\(\?:[^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", pattern)
+    pattern = re.sub(r"\[[^]]*\](?:[?*+]|\{[^}]*\})?", "\0", pattern)
+    return re.sub(r".\?", "\0", pattern).split("\0")
+
+
+def _bare(pattern: str) -> str:
+    """A rule's pattern without its word bounds."""
+    return pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+
+
+def fixed_parts(pattern: str) -> list[str]:
+    """Strings that every match of a rule's pattern contains."""
+    return sorted({p for p in _parts(_bare(pattern)) if len(p) > 2}, key=len, reverse=True)
+
+
+def fixed_words(pattern: str) -> set[str]:
+    """Whole words that every match of a rule's pattern has."""
+    before, pattern = "", _bare(pattern)
+    while before != pattern:  # an optional group that brings its own space leaves the words beside it whole
+        before = pattern
+        pattern = re.sub(r"(^|(?<= ))\(\?:(?:[^()|]* \|)*[^()|]* \)[?*]", "", pattern)
+        pattern = re.sub(r"\(\?:(?: [^()|]*\|)* [^()|]*\)[?*](?= |$)", "", pattern)
+    return {w for w in "\0".join(_parts(pattern)).split(" ") if w and "\0" not in w}
+
+
+def anchor(keyword: str, pattern: str) -> tuple[str, bool]:
+    """What a text must hold for a rule to be tried, and whether as a whole word: the keyword's longest word, another one, or the keyword as a string."""
+    found = fixed_words(pattern)
+    of_keyword = {w for w in keyword.split() if len(w) > 2}
+    return (max(found, key=lambda w: (w in of_keyword, len(w), w)), True) if found else (keyword, False)
+
+
 def _words_string(text: Column) -> Column:
     """Words with one space between; A-Z are lower-cased and no other letter, which plain lower-casing does only for ASCII."""
     whole = F.coalesce(text, F.lit(""))
-    lower = F.when(whole.rlike(r"[^\x00-\x7F]"), F.translate(whole, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(whole))
+    lower = F.when(F.octet_length(whole) > F.char_length(whole), F.translate(whole, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(whole))
     return F.btrim(F.regexp_replace(lower, NOT_WORD, " "))
 
 
@@ -227,9 +264,16 @@ def _phrase_places(padded: Column, phrase: str, n_words: Column) -> Column:
 
 #: Items that one appending fold takes at most.
 CHUNK = 128
+#: Bytes of words up to which a text is split to be met with the anchors. A longer one is searched for each, as its words in an array take many times its memory.
+SPLIT_BYTES = 1 << 20
 _DETECTION = "array<struct<start:int,stop:int,rank:int,label:string,confidence:double>>"
 
 
+def _once(value: Column, result) -> Column:
+    """result(value) with the value computed once; a lambda's body computes an expression again wherever it stands."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))
+
+
 def _scanned(items: Column, start: Column, merge, joined, emit, kind: str) -> Column:
     """emit(state before x, x) of every item in order, where merge(state, x) moves the state on.
 
@@ -256,13 +300,16 @@ def _found_by(words: Column, rule: Column) -> Column:
 
     rank orders rules: a higher priority first, then the earlier rule.
     """
-    matches = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    between = F.split(words, rule["pattern"])
-    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
     moved = lambda at, x: at + x["b"] + x["m"]
-    begins = _scanned(lengths, F.lit(0), moved, lambda a, b: a + b, lambda at, x: at + x["b"], "int")
-    one = lambda begin, m: F.struct(begin.alias("start"), (begin + F.length(m)).alias("stop"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-    return F.zip_with(begins, matches, one)
+    one = lambda begin, x: F.struct(begin.alias("start"), (begin + x["m"]).alias("stop"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
+
+    def placed(matches: Column) -> Column:
+        between = F.slice(F.split(words, rule["pattern"]), F.lit(1), F.size(matches))
+        lengths = F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+        spans = lambda x: F.zip_with(_scanned(x, F.lit(0), moved, lambda a, b: a + b, lambda at, y: at + y["b"], "int"), x, one)
+        return F.when(F.size(matches) > 0, _once(lengths, spans)).otherwise(F.array().cast(_DETECTION))
+
+    return _once(F.regexp_extract_all(words, rule["pattern"], F.lit(0)), placed)
 
 
 def _uncontained(detections: Column) -> Column:
@@ -283,16 +330,20 @@ def _uncontained(detections: Column) -> Column:
 def license_detections(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), gated: bool = True) -> DataFrame:
     """The carried columns, n_words, the phrases' places, detections (spans in the word string), labels and score.
 
-    gated: try only the rules whose keyword a text holds; the result is the same without.
+    gated: try only the rules whose anchor and fixed parts a text holds; the result is the same without.
     """
-    table = rules()
+    table = [(*r, *anchor(r[2], r[5])) for r in rules()]
     df = documents.withColumn("_words", _words_string(F.col("text")))
     df = df.withColumns({"n_words": F.when(F.length("_words") == 0, F.lit(0)).otherwise(_spaces(F.col("_words")) + 1).cast("long"), "_padded": F.concat(F.lit(" "), F.col("_words"), F.lit(" "))})
     df = df.withColumn("_places", F.array(*[_phrase_places(F.col("_padded"), p, F.col("n_words")) for p, _ in PHRASES]))
-    keywords = sorted({r[2] for r in table})
-    literal = F.array(*[F.struct(F.lit((3 - priority) * 10000 + k).alias("rank"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")) for k, label, keyword, priority, confidence, pattern in table])
-    df = df.withColumn("_held", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_words"), k)))
-    df = df.withColumn("_rules", F.when(F.size("_held") > 0, F.filter(literal, lambda r: F.array_contains("_held", r["keyword"]))) if gated else literal)
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    literal = F.array(*[F.struct(F.lit((3 - priority) * 10000 + k).alias("rank"), F.lit(label).alias("label"), F.lit(held).alias("anchor"), strings(fixed_parts(pattern)).alias("parts"), F.lit(confidence).alias("confidence"), F.lit(pattern).alias("pattern")) for k, label, _, priority, confidence, pattern, held, _ in table])
+    of_words, of_strings = (sorted({r[6] for r in table if r[7] is whole}) for whole in (True, False))
+    searched = F.filter(strings(of_words), lambda w: F.contains(F.col("_padded"), F.concat(F.lit(" "), w, F.lit(" "))))
+    words = F.when(F.octet_length("_words") <= SPLIT_BYTES, F.array_intersect(F.split(F.col("_words"), " "), strings(of_words))).otherwise(searched)
+    df = df.withColumn("_held", F.concat(words, F.array_compact(F.array(*[F.when(F.contains("_words", F.lit(k)), F.lit(k)) for k in of_strings]))))
+    tried = lambda r: F.array_contains("_held", r["anchor"]) & F.forall(r["parts"], lambda p: F.contains(F.col("_words"), p))
+    df = df.withColumn("_rules", F.when(F.size("_held") > 0, F.filter(literal, tried)) if gated else literal)
     every = F.flatten(F.transform("_rules", lambda r: _found_by(F.col("_words"), r)))
     order = lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("far"), d["rank"].alias("rank"), d["stop"].alias("stop"), d["label"].alias("label"), d["confidence"].alias("confidence"))
     back = lambda d: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), d["rank"].alias("rank"), d["label"].alias("label"), d["confidence"].alias("confidence"))
