@@ -134,9 +134,10 @@ def split_thresholds(ordered: DataFrame, basis: DataFrame) -> DataFrame:
     """entity, threshold, factor: what was filed before the threshold is multiplied by the factor.
 
     A bracket is narrowed by every filing whose basis is known, from below by those still on the old one and from above by those on the new; where the evidence
-    contradicts itself the bracket's own end stays.
+    contradicts itself the bracket's own end stays. Brackets are hinted to hash tables of their tasks: rows made by an explode
+    have no honest estimate, and one row a filing, taken for small, went through the driver to every task.
     """
-    met = basis.join(ordered, "entity").withColumn("at", F.array_position("products", snapped(F.col("basis"), F.col("products"))) - 1).where("at >= 0")
+    met = basis.join(ordered.hint("shuffle_hash"), "entity").withColumn("at", F.array_position("products", snapped(F.col("basis"), F.col("products"))) - 1).where("at >= 0")
     each = met.select("entity", "filed", "at", F.posexplode("b").alias("k", "x"))
     narrowed = each.groupBy("entity", "k", "x").agg(F.max(F.when(F.col("k") >= F.col("at"), F.col("filed"))).alias("_lo"), F.min(F.when(F.col("k") < F.col("at"), F.col("filed"))).alias("_hi"))
     lo, hi = F.greatest(F.col("x.lo"), "_lo"), F.least(F.col("x.hi"), "_hi")

@@ -10,11 +10,14 @@ from tidemark.sources.tables import load
 
 #: Made-up splits: every how manyth customer, the day, and the ratio.
 SPLITS = ((3, "1998-03-01", 2.0), (5, "1999-06-15", 10.0))
+#: Customers whose versions a task makes and sorts at most, on average; a customer has 60.
+TASK_CUSTOMERS = 2000
 
 
 def versions(spark, d):
     """A share count a customer and quarter, reported three times a year apart, on the basis of the day it was filed."""
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey")).repartition(8 * spark.sparkContext.defaultParallelism, "entity")
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey"))
+    c = c.repartition(max(8 * spark.sparkContext.defaultParallelism, -(-c.count() // TASK_CUSTOMERS)), "entity")
     ends = spark.sql("select explode(sequence(date '1996-03-01', date '2000-12-01', interval 3 months)) m").select(F.last_day("m").alias("end"))
     v = c.crossJoin(F.broadcast(ends)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(2))))
     v = v.withColumns({"start": F.add_months(F.trunc("end", "month"), -2), "filed": F.date_add("end", 40 + 365 * F.col("v")), "tag": F.lit("diluted"), "unit": F.lit("shares")})
