@@ -29,3 +29,8 @@ def test_thresholds_bring_no_table_of_filings_to_the_driver(spark):
 def test_tasks_of_versions_grow_with_the_customers(spark, monkeypatch):
     monkeypatch.setattr(facts, "TASK_CUSTOMERS", 2)
     assert facts.versions(spark, f"{DATA}/sf0.001").rdd.getNumPartitions() >= 75
+
+
+def test_adjustment_brings_no_thresholds_to_the_driver(spark):
+    plan = registry.queries()["split_adjusted"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan

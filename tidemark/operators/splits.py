@@ -145,8 +145,11 @@ def split_thresholds(ordered: DataFrame, basis: DataFrame) -> DataFrame:
 
 
 def split_adjusted(facts: DataFrame, thresholds: DataFrame, value: str = "val", unit: str = "unit") -> DataFrame:
-    """facts with share counts and per-share figures on the newest basis; other units are left as they are."""
+    """facts with share counts and per-share figures on the newest basis; other units are left as they are.
+
+    Thresholds, one row an entity after their grouping, are hinted to hash tables of their tasks and are never broadcast.
+    """
     listed = thresholds.groupBy(F.col("entity").alias("_e")).agg(F.collect_list(F.struct("threshold", "factor")).alias("_t"))
     factor = F.aggregate(F.coalesce("_t", F.array().cast("array<struct<threshold:date,factor:double>>")), F.lit(1.0), lambda p, t: F.when(F.col("filed") < t["threshold"], p * t["factor"]).otherwise(p))
-    met = facts.join(listed, F.col("entity") == F.col("_e"), "left").withColumn("_f", factor)
+    met = facts.join(listed.hint("shuffle_hash"), F.col("entity") == F.col("_e"), "left").withColumn("_f", factor)
     return met.withColumn(value, F.when(F.col(unit) == "shares", F.col(value) * F.col("_f")).when(F.col(unit) == "USD/shares", F.col(value) / F.col("_f")).otherwise(F.col(value))).drop("_e", "_t", "_f")
