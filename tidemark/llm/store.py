@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _batches_of(spark: SparkSession, most: int | None):
+def batches_of(spark: SparkSession, most: int | None):
+    """Within it, Arrow functions get about so many bytes at a time where they are run."""
     before = spark.conf.get(BATCH_SETTING, None)
     if most is not None:
         spark.conf.set(BATCH_SETTING, str(most))
@@ -56,7 +57,7 @@ def save(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _batches_of(spark, batch_bytes):
+    with batches_of(spark, batch_bytes):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path

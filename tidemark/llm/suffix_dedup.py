@@ -9,7 +9,7 @@ have equal anchors, so
    every task; segments with a unique anchor hold no repeat and go no further;
 2. other segments go to the owner of their anchor's hash, equal ones of a lot only once, the later
    documents' being settled there;
-3. an owner joins its unequal segments to one text, sorts its suffixes by induction, computes the
+3. an owner joins the strings of its unequal segments that may be another's too (see ``shared_strings``) to one text, sorts its suffixes by induction, computes the
    permuted common prefixes, and in every interval of at least ``size`` common bytes finds the
    smallest document (see ``suffix_array``). What it finds goes back by lots as covered runs.
 
@@ -28,16 +28,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange as x
 from tidemark.llm import repeats, store
 from tidemark.llm.repeated_windows import settle
 from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
-from tidemark.llm.text import BLOCK, GOLDEN, U, Block, blocks, mix, powers, window_hashes, window_owner
+from tidemark.llm.text import BLOCK, GOLDEN, U, Block, blocks, mix, powers, window_hashes
 
 GRAM = 16
 LOT_BYTES = 32 << 20
+#: Text that a worker gets or gives at a time.
+BATCH_BYTES = 2 << 20
+#: Beyond so many owners their texts grow, up to so many bytes: every lot sends a row to every owner.
+FEW_OWNERS, MOST_OWNER_BYTES = 1 << 10, 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _SYMBOLS = mix(np.arange(1, 257, dtype=U) * GOLDEN)
 _OTHER = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
@@ -53,20 +58,26 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (width - reach)], a[width - reach :]) if reach < width else a
 
 
-def segments(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first string's place in the block, number of strings and text of every segment."""
+def segments(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first string's place in the block, number of strings, text, and the anchor's distance from the first string of every segment."""
     grams = window_hashes(_SYMBOLS[block.data], GRAM)
     if len(block.data) < size:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U), none, none, none
+        return np.zeros(0, U), none, none, none, none
     ranked = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U)
     least = sliding_min(ranked, size - GRAM + 1)
-    at, owner = window_owner(block.bounds, size, len(least))
-    anchor = (least[at] & U(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    return grams[anchor[first]], at[first], np.diff(np.append(first, len(at))), owner[first]
+    # a segment ends where the anchor changes and where a text has no more strings
+    last = block.bounds[1:] - size + 1
+    fits = last > block.bounds[:-1]
+    edges = np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, block.bounds[:-1][fits], last[fits]])
+    edges.sort()
+    first = edges[np.diff(edges, append=len(block.data)) > 0]
+    owner = np.searchsorted(block.bounds, first, "right") - 1
+    inside = first < last[owner]
+    ends = np.append(first[1:], len(block.data))[inside]
+    first, owner = first[inside], owner[inside]
+    anchor = (least[first] & U(0xFFFFFFFF)).astype(np.int64)
+    return grams[anchor], first, ends - first, owner, anchor - first
 
 
 def _named(size: int, ranges: int):
@@ -114,7 +125,7 @@ def _content(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out
 
 
-def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs, starts, counts, one, two, data) -> list[tuple[int, int, int, bytes]]:
+def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs, starts, counts, anchors, one, two, data) -> list[tuple[int, int, int, bytes]]:
     lot = x.lot_id(number)
     rows = [x.documents_row(owners, lot, doc_ids, prints)]
     lengths = counts + size - 1
@@ -132,7 +143,7 @@ def _ask_rows(size: int, owners: int, number: int, doc_ids, prints, keys, docs,
         there, which = np.unique(docs[part], return_inverse=True)
         n = np.bincount(which).astype(np.uint32)
         body = cut(data, begins[part], lengths[part])
-        rows.append((o, lot, x.ITEMS, x.squeezed(x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), body))))
+        rows.append((o, lot, x.ITEMS, x.squeezed(x.pack(*x.planes(x.deltas(there)), x.deltas(doc_ids[there]), *x.planes(n), *x.planes(starts[part]), counts[part].astype(np.uint16), anchors[part].astype(np.uint16), body))))
     return rows
 
 
@@ -142,18 +153,19 @@ def _asks(size: int, owners: int, ranges: int, bitmap):
 
         def rows():
             parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
             return x.batch(_ask_rows(size, owners, number, np.concatenate(doc_ids), np.concatenate(prints), *parts))
 
         for batch in batches:
             doc_ids.append(batch.column("doc_id").to_numpy())
             prints.append(batch.column("print").to_numpy())
             for block in blocks(batch.column("text")):
-                keys, at, count, owner = segments(block, size)
+                keys, at, count, owner, anchor = segments(block, size)
                 may = np.flatnonzero(repeats.maybe_repeated(keys, bitmap.value, ranges))
                 if len(may):
-                    keys, at, count, owner = keys[may], at[may], count[may], owner[may]
+                    keys, at, count, owner, anchor = keys[may], at[may], count[may], owner[may], anchor[may]
                     body = cut(block.data, at, count + size - 1)
-                    held.append((keys, block.rows[owner] + first, at - block.bounds[owner], count, *_content(body, count + size - 1), body))
+                    held.append((keys, block.rows[owner] + first, at - block.bounds[owner], count, anchor.astype(np.uint16), *_content(body, count + size - 1), body))
                     n += len(held[-1][-1])
             first += batch.num_rows
             if n >= LOT_BYTES:
@@ -179,7 +191,37 @@ def repeated_places(text: np.ndarray, ids: np.ndarray, valid: np.ndarray, size:
     return late & valid
 
 
-def _answer(size: int, lots, docs, ids, starts, counts, data) -> list[tuple[np.ndarray, ...]]:
+def _around(words: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of that many bytes (8 or more) from each place."""
+    out = np.zeros(len(places), U)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        out = mix(out * GOLDEN + words[places + k].astype(U))
+    return out
+
+
+def shared_strings(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, anchors: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of unequal segments, the strings (from, to) of each that another one may hold too.
+
+    A string holds its anchor and, where that lies in its later half, the bytes before it, else those after it: equal strings
+    agree in these, so strings whose bytes around the anchor no other segment has are left out.
+    """
+    half = (size - GRAM) // 2
+    after = size - half + 1 if half else GRAM
+    n_before = np.clip(anchors - half + 1, 0, counts)
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    shared = []
+    for which, places, length in ((np.flatnonzero(n_before > 0), begins + anchors - half, GRAM + half), (np.flatnonzero(n_before < counts), begins + anchors, after)):
+        key = _around(words, places[which], length)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        found = np.zeros(len(counts), bool)
+        found[which[order[1:][same]]] = True
+        found[which[order[:-1][same]]] = True
+        shared.append(found)
+    return np.where(shared[0], 0, n_before), np.where(shared[1], counts, np.where(shared[0], n_before, 0))
+
+
+def _answer(size: int, lots, docs, ids, starts, counts, anchors, data) -> list[tuple[np.ndarray, ...]]:
     """Hits (lot, document, start, count) among the segments of one owner."""
     lengths = counts + size - 1
     order, group, later = settle(_content(data, lengths), ids)
@@ -187,15 +229,21 @@ def _answer(size: int, lots, docs, ids, starts, counts, data) -> list[tuple[np.n
     ends = np.cumsum(lengths)
     heads = np.flatnonzero(np.diff(group, prepend=-1))
     rep = order[heads]
-    fenced = lengths[rep] + 1
+    low, high = shared_strings(data, (ends - lengths)[rep], counts[rep], anchors[rep], size)
+    open_ = np.flatnonzero(low < high)
+    rep, low, high = rep[open_], low[open_], high[open_]
+    if not len(rep):
+        return hits
+    n_strings = high - low
+    fenced = n_strings + size
     text = np.full(int(fenced.sum()), _FENCE, np.uint8)
     begin = np.cumsum(fenced) - fenced
     inside = np.ones(len(text), bool)
-    inside[begin + lengths[rep]] = False
-    text[inside] = cut(data, (ends - lengths)[rep], lengths[rep])
+    inside[begin + fenced - 1] = False
+    text[inside] = cut(data, (ends - lengths)[rep] + low, fenced - 1)
     valid = np.zeros(len(text) + 1, np.int64)
     valid[begin] += 1
-    np.add.at(valid, begin + counts[rep], -1)
+    np.add.at(valid, begin + n_strings, -1)
     valid = np.cumsum(valid[:-1]) > 0
     late = repeated_places(text, np.repeat(ids[rep], fenced), valid, size)
     edge = np.diff(np.concatenate([[0], late.view(np.int8), [0]]))
@@ -205,11 +253,11 @@ def _answer(size: int, lots, docs, ids, starts, counts, data) -> list[tuple[np.n
         which = np.searchsorted(begin, a, "right") - 1
         same = order[~later]
         mine = group[~later]
-        first = np.searchsorted(mine, which)
-        n = np.searchsorted(mine, which, "right") - first
+        first = np.searchsorted(mine, open_[which])
+        n = np.searchsorted(mine, open_[which], "right") - first
         run = np.repeat(np.arange(len(a)), n)
         member = same[np.repeat(first, n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)]
-        hits.append((lots[member], docs[member], starts[member] + (a - begin[which])[run], (b - a)[run]))
+        hits.append((lots[member], docs[member], starts[member] + (a - begin[which] + low[which])[run], (b - a)[run]))
     return hits
 
 
@@ -219,9 +267,9 @@ def _shard(size: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     held = []
     for lot, kind, load in rows:
         if kind == x.ITEMS:
-            d0, d1, did, n0, n1, s0, s1, counts, body = x.unpack(x.unsqueezed(load))
+            d0, d1, did, n0, n1, s0, s1, counts, anchors, body = x.unpack(x.unsqueezed(load))
             n = x.joined(n0, n1)
-            held.append((np.full(len(counts), lot, np.int64), np.repeat(np.cumsum(x.joined(d0, d1)), n), np.repeat(np.cumsum(did), n), x.joined(s0, s1), counts.astype(np.int64), body))
+            held.append((np.full(len(counts), lot, np.int64), np.repeat(np.cumsum(x.joined(d0, d1)), n), np.repeat(np.cumsum(did), n), x.joined(s0, s1), counts.astype(np.int64), anchors.astype(np.int64), body))
     rows.clear()
     if held:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -242,8 +290,18 @@ def _answers(size: int):
     return run
 
 
+def _pieces(batch: pa.RecordBatch):
+    """The batch in runs of rows with about ``BATCH_BYTES`` of text, or one longer row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _result(batches):
-    for batch in batches:
+    for batch in (p for b in batches for p in _pieces(b)):
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
             body = kept = x.text_of(text)
@@ -264,11 +322,12 @@ def repeated_byte_runs(documents: DataFrame, size: int = 50, owner_bytes: int =
     texts = x.texts(documents)
     ranges = repeats.ranges_for(n_bytes // 16)
     parts = texts.select("text").mapInArrow(_named(size, ranges), x.SCHEMA)
-    bitmap = spark.sparkContext.broadcast(repeats.repeated_keys(parts, n_bytes // 16, ranges))
-    owners = x.owners_for(n_bytes, owner_bytes)
+    with store.batches_of(spark, BATCH_BYTES):
+        bitmap = spark.sparkContext.broadcast(repeats.repeated_keys(parts, n_bytes // 16, ranges))
+    owners = x.owners_for(n_bytes, max(owner_bytes, min(MOST_OWNER_BYTES, n_bytes // FEW_OWNERS)))
     asks = texts.mapInArrow(_asks(size, owners, ranges, bitmap), x.SCHEMA)
     answers = x.deal(asks, owners).mapInArrow(_answers(size), x.SCHEMA)
-    return store.save(x.covered_runs(answers, size), "byte-runs")
+    return store.save(x.covered_runs(answers, size), "byte-runs", BATCH_BYTES)
 
 
 def drop_repeated_bytes(documents: DataFrame, *, size: int = 50, most_broadcast: int = 16 << 20) -> DataFrame:
